@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, quality
+from corvane.llm import decontaminate, mixing, near_dedup, quality, sharding
 from corvane.llm._common import Scratch, table
 
 
@@ -18,7 +18,22 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality", good_quality), ("decontamination", without_benchmark)]
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the least id, of each group linked by five-word shingles at 0.8 or more."""
+    return near_dedup.keep_one(docs, shingle=5)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as its source's target asks: not at all, once or twice."""
+    return mixing.mix(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Commits all rows to target-sized shards and returns them, with their shard, from the newest version."""
+    return sharding.shard_documents(docs, Scratch(spark, "corpus").path("store")).read()
+
+
+STAGES = [("quality", good_quality), ("near duplicates", one_of_each_group), ("decontamination", without_benchmark), ("mixing", mixed), ("sharding", sharded)]
 ORACLE_SQL = None
 
 
@@ -27,7 +42,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         if k > 1:
-            scratch.drop(STAGES[k - 2][0])
+            scratch.drop(STAGES[k - 2][0].replace(" ", "-"))
     return docs
