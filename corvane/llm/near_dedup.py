@@ -1,13 +1,16 @@
 """Near duplicates by min-max hashing.
 
-A document's set holds the hashes of its distinct word shingles. Under each of ``BANDS * 3`` permutations both the
+A document's set holds the hashes of its distinct word shingles. Under each of ``BANDS * 4`` permutations both the
 minimum and the maximum are kept, so a signature costs half the hash evaluations of one of minima alone. A band is
-three permutations' minima and maxima; documents that agree in a band share a bucket. At likeness 0.8 two documents
-share none with a probability below 1e-6, and only documents with equal sets are merged before.
-
-Links are confirmed on whole sets. In a bucket all members are compared with one member at a time (a star), and only
-across components found so far; so a group of n near copies costs about n comparisons. What stars leave open is
-compared in full, but only across components.
+four permutations' minima and maxima; documents that agree in a band share a bucket. At likeness 0.8 two documents
+share none with a probability below 1e-6 (1e-5 for sets of four and five shingles). Documents with equal sets are
+merged before.
+
+Links are confirmed on whole sets. A bit of each of 640 signature values makes a sketch; pairs whose sketches agree in
+fewer bits than a likeness of 0.8 gives at six standard deviations are not compared. In a bucket members are first
+compared with one member (a star), the one that shares most buckets with others and so is nearest to the group's
+common text, and only across components found so far; so a group of n near copies costs about n
+comparisons. What stars leave open is compared in full, but only across components.
 """
 
 from __future__ import annotations
@@ -19,15 +22,22 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.llm._common import Scratch, parts, table
 from corvane.llm.bpe import Memo
 
-BANDS, WIDTH, PERCENT, SEED = 56, 6, 80, 20240607
-#: Stars are drawn while more pairs than this many times the bucket rows are open, ``STARS`` times at most.
-OPEN, STARS = 2, 8
+BANDS, WIDTH, PERCENT, SEED = 84, 8, 80, 20240607
+#: Stars are drawn again while they closed a third of the open pairs and more than this many times the bucket rows are
+#: open, ``STARS`` times at most; each compares a document with at most ``CENTRES`` others.
+OPEN, STARS, CENTRES = 2, 8, 8
+#: Bits of a sketch, and the least that agree: 0.9 * 640 less six standard deviations.
+BITS, AGREE = 640, 530
+#: Links up to this number are joined by one task; more by rounds of joins, with equal results.
+ONE_TASK = 1_000_000
 #: Ids that may be broadcast to read the texts of candidates; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+_NONE = np.empty(0, np.int64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -79,6 +89,11 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """A bit of each of the first ``BITS`` values, as 64-bit numbers."""
+    return np.packbits(_mixed(signature[:BITS]) & np.uint64(1) == 1).view(np.int64)
+
+
 def _signatures(k: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, by = Shingles(k), multipliers()
@@ -86,9 +101,10 @@ def _signatures(k: int):
             for i in range(0, len(batch), 1000):
                 part = batch.iloc[i : i + 1000]
                 sets = [shingles(t) for t in part["text"]]
+                signed = [min_max(s, by) if len(s) else None for s in sets]
                 yield pd.DataFrame({
                     "doc": part["doc"].array, "n": [len(s) for s in sets], "same": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "bands": [band_keys(min_max(s, by)) if len(s) else np.empty(0, np.int64) for s in sets],
+                    "bands": [_NONE if x is None else band_keys(x) for x in signed], "bits": [_NONE if x is None else sketch(x) for x in signed],
                 })
 
     return of
@@ -105,16 +121,39 @@ def _sets(k: int):
     return of
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """``doc`` and ``component`` (the least id reachable) of the ends of ``edges`` (a, b).
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find; the least id of a set is its root."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (y := up.setdefault(top, top)) != top:
+            top = y
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    docs = list(up)
+    yield pd.DataFrame({"doc": docs, "component": [root(d) for d in docs]}, dtype="int64")
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str, one_task: int = ONE_TASK) -> DataFrame:
+    """``doc`` and ``component`` (the least id reachable) of the ends of ``edges`` (a, b; written, cheap to read).
 
-    Each round takes the least label of the neighbours, then the label of the label; rounds end when none changes.
+    Up to ``one_task`` edges one task joins them. More take rounds, each the least label of the neighbours, then the
+    label of the label, until none changes.
     """
+    if edges.count() <= one_task:
+        return scratch.write(edges.coalesce(1).mapInPandas(_joined, "doc long, component long"), f"{name}-1")
     both = scratch.write(edges.select(F.col("a").alias("doc"), F.col("b").alias("near")).union(edges.select("b", "a")), f"{name}-links")
     own = both.groupBy("doc").agg(F.min("near").alias("m")).select("doc", F.least("doc", "m").alias("component"))
     own = scratch.write(own, f"{name}-0")
     total, k = own.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0], 0
-    while total is not None:
+    while True:
         near = own.select(F.col("doc").alias("near"), F.col("component").alias("c"))
         heard = both.join(near, "near").groupBy("doc").agg(F.min("c").alias("m"))
         new = own.join(heard, "doc").select("doc", F.least("component", "m").alias("component"))
@@ -124,9 +163,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         before, total = total, new.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         own, k = new, k + 1
         if total == before:
-            break
-    scratch.drop(f"{name}-links")
-    return own
+            scratch.drop(f"{name}-links")
+            return own
 
 
 class _Linker:
@@ -135,7 +173,6 @@ class _Linker:
     def __init__(self, scratch: Scratch, sets: DataFrame):
         self.scratch, self.sets, self.round = scratch, sets, 0
         self.compared: DataFrame | None = None
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def labelled(self, buckets: DataFrame) -> DataFrame:
@@ -156,8 +193,9 @@ class _Linker:
         common = F.size(F.array_intersect("x", "y"))
         found = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), common.alias("both"))
         found = self.scratch.write(found.where(100 * F.col("both") >= PERCENT * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"), f"links{self.round}")
-        self.links = found if self.links is None else self.links.union(found)
-        self.labels = components(self.links, self.scratch, f"labels{self.round}")
+        if self.labels is not None:  # what is joined already counts as one link for each document
+            found = self.scratch.write(found.union(self.labels.select("doc", "component").where("doc <> component")), f"all{self.round}")
+        self.labels = components(found, self.scratch, f"labels{self.round}")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
@@ -171,37 +209,49 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    signed = scratch.write(own.mapInPandas(_signatures(shingle), "doc long, n long, same binary, bands array<long>"), "signatures")
+    signed = scratch.write(own.mapInPandas(_signatures(shingle), "doc long, n long, same binary, bands array<long>, bits array<long>"), "signatures")
     slim = signed.select("doc", "n", "same")
     classes = scratch.write(slim.where("n > 0").groupBy("same").agg(F.min("doc").alias("first")), "classes")
     banded = signed.where("n > 0").join(classes.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi")
     rows = banded.select("doc", "n", F.explode("bands").alias("key")).repartition(parts(spark), "key")
     shared = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
-    buckets = scratch.write(rows.join(shared, "key", "left_semi"), "buckets")
+    buckets = scratch.write(rows.join(shared, "key", "left_semi"), "rows")
     ids = scratch.write(buckets.select("doc").distinct(), "candidates")
-    texts = own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi")
-    sets = scratch.write(texts.mapInPandas(_sets(shingle), "doc long, set array<long>"), "sets")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = scratch.write(own.join(few, "doc", "left_semi").mapInPandas(_sets(shingle), "doc long, set array<long>"), "sets")
+    sketches = signed.select("doc", *[F.col("bits")[i].alias(f"s{i}") for i in range(BITS // 64)]).join(few, "doc", "left_semi").dropDuplicates(["doc"])
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
+    hubs = buckets.join(sizes, "key").groupBy("doc").agg(F.sum("size").alias("hub"))
+    buckets = scratch.write(buckets.join(sketches.join(hubs, "doc"), "doc"), "buckets")
     linker = _Linker(scratch, sets)
-    alike = lambda a, b: 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)  # noqa: E731  else the sizes alone differ too much
-    limit = OPEN * buckets.count()
+    bits = [f"s{i}" for i in range(BITS // 64)]
+    agree = BITS - sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in bits)
+    alike = (100 * F.least("n", "n_") >= PERCENT * F.greatest("n", "n_")) & (agree >= AGREE) & (F.col("component") != F.col("component_"))
+    limit, last = OPEN * buckets.count(), None
     for turn in range(STARS + 1):
-        own_buckets = linker.labelled(buckets)
-        by_part = own_buckets.groupBy("key", "component").agg(F.count("*").alias("k"))
-        mixed = by_part.groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("s"), F.count("*").alias("parts")).where("parts > 1")
-        open_pairs = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()[0] or 0
-        if not open_pairs:
-            break
-        buckets = scratch.write(own_buckets.join(mixed.select("key"), "key", "left_semi").select("doc", "n", "key"), f"open{turn}")
-        own_buckets = linker.labelled(buckets)
-        if turn == STARS or (turn and open_pairs <= limit):
-            other = own_buckets.select("key", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-            pairs = own_buckets.withColumnRenamed("doc", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("c")) & alike(F.col("n"), F.col("m")))
-            linker.confirm(pairs.select("a", "b").distinct())
-            break
-        h = F.xxhash64("doc", F.lit(turn))
-        centre = own_buckets.groupBy("key").agg(F.min_by("doc", h).alias("centre"), F.min_by("n", h).alias("m"), F.min_by("component", h).alias("c"))
-        pairs = own_buckets.join(centre, "key").where((F.col("component") != F.col("c")) & alike(F.col("n"), F.col("m")))
-        linker.confirm(pairs.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct())
+        labelled = linker.labelled(buckets)
+        if turn:
+            by_part = labelled.groupBy("key", "component").agg(F.count("*").alias("k"))
+            mixed = by_part.groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("s"), F.count("*").alias("parts")).where("parts > 1")
+            buckets = scratch.write(buckets.join(mixed.select("key", ((F.col("m") * F.col("m") - F.col("s")) / 2).alias("open")), "key"), f"open{turn}")
+            each = buckets.groupBy("key").agg(F.first("open").alias("open")).agg(F.sum("open")).first()[0]
+            if not each:
+                break
+            labelled, buckets = linker.labelled(buckets), buckets.drop("open")
+            done = turn == STARS or each <= limit or (last is not None and each > last * 2 / 3)
+            last = each
+            if done:
+                other = labelled.select("key", *[F.col(c).alias(f"{c}_") for c in ("doc", "n", "component", *bits)])
+                pairs = labelled.join(other, "key").where((F.col("doc") < F.col("doc_")) & alike)
+                linker.confirm(pairs.select(F.col("doc").alias("a"), F.col("doc_").alias("b")).distinct())
+                break
+        # the best hub; in later turns any, by a hash
+        h = F.struct("hub", "doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
+        centre = labelled.groupBy("key").agg(*[F.max_by(c, h).alias(f"{c}_") for c in ("doc", "n", "component", "hub", *bits)])
+        pairs = labelled.join(centre, "key").where(alike).select("doc", "doc_", "hub_").distinct()
+        first = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("hub_"), "doc_"))
+        pairs = pairs.withColumn("k", first).where(F.col("k") <= CENTRES)  # the others stay open
+        linker.confirm(pairs.select(F.least("doc", "doc_").alias("a"), F.greatest("doc", "doc_").alias("b")).distinct())
     out = slim.join(classes, "same", "left")
     labels = linker.labels
     if labels is None:
