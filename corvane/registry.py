@@ -1,7 +1,5 @@
 """The queries of the operators outside the training-data subpackage, and their SQL."""
 
-from __future__ import annotations
+from corvane.plans.queries import FLAGSHIP, ORACLE_SQL, QUERIES
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
