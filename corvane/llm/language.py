@@ -76,7 +76,7 @@ class Model:
         self.langs, self.scripts = langs, scripts
         smooth = counts + SMOOTH
         scores = np.log(smooth / smooth.sum(0, keepdims=True))
-        self.scores = (WEIGHT * (scores - scores.mean(1, keepdims=True))).astype("float32")
+        self.scores = (WEIGHT * (scores - scores.sum(1, keepdims=True) / max(1, len(langs)))).astype("float32")
 
 
 class Labeller:
