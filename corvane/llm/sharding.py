@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm._common import Scratch, table
@@ -20,6 +20,15 @@ from corvane.llm._common import Scratch, table
 TARGET_BYTES, FAN_IN, ARRIVALS = 64 << 20, 4, 3
 
 
+def _short(path: str) -> str:
+    """A file's name with its folder's: one task's files in several folders have equal names."""
+    return "/".join(path.split("/")[-2:])
+
+
+def _name() -> Column:
+    return F.substring_index(F.col("_metadata.file_path"), "/", -2)
+
+
 class Conflict(RuntimeError):
     """Another writer committed the version first."""
 
@@ -76,8 +85,8 @@ class ShardStore:
             if s.getPath().getName().endswith(".parquet"):
                 found.append((s.getPath().toString(), s.getLen()))
         files = self.spark.read.schema(self.schema).parquet(f"{self.folder}/{folder}")
-        rows = {r["name"]: r["n"] for r in files.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("n")).collect()}  # a row for each file
-        found = [(p, size, rows.get(p.rpartition("/")[2], 0)) for p, size in sorted(found)]
+        rows = {r["name"]: r["n"] for r in files.groupBy(_name().alias("name")).agg(F.count("*").alias("n")).collect()}  # a row for each file
+        found = [(p, size, rows.get(_short(p), 0)) for p, size in sorted(found)]
         return [{"shard": first + i, "path": p[len(self._root()) :], "bytes": size, "rows": n, "generation": generation} for i, (p, size, n) in enumerate(x for x in found if x[2])]
 
     def _root(self) -> str:
@@ -126,17 +135,20 @@ class ShardStore:
     def compact(self) -> int:
         """Merges by ``plan`` until no tier has a run; every merge is one job and one commit."""
         while groups := self.plan(shards := self.manifest(base := self.version())):
-            of = [(s["path"].rpartition("/")[2], i) for i, g in enumerate(groups) for s in g]
+            of = [(_short(s["path"]), i) for i, g in enumerate(groups) for s in g]
             names = self.spark.createDataFrame(of, "__file string, __group int")  # a row for each file that is merged
             paths = [self.folder + "/" + s["path"] for g in groups for s in g]
-            rows = self.spark.read.schema(self.schema).parquet(*paths).withColumn("__file", F.col("_metadata.file_name"))
+            rows = self.spark.read.schema(self.schema).parquet(*paths).withColumn("__file", _name())
             rows = rows.join(F.broadcast(names), "__file").drop("__file")
             folder = f"data/m-{uuid.uuid4().hex}"
             rows.repartition(2 * len(groups), "__group").write.partitionBy("__group").parquet(f"{self.folder}/{folder}")
             gone = {s["shard"] for g in groups for s in g}
             kept = [s for s in shards if s["shard"] not in gone]
             generation = 1 + max(s["generation"] for g in groups for s in g)
-            self.commit(base, kept + self._written(folder, self.next_shard(shards), generation))
+            new = self._written(folder, self.next_shard(shards), generation)
+            if sum(s["rows"] for s in new) != sum(s["rows"] for g in groups for s in g):
+                raise RuntimeError("a merge lost or gained rows; nothing was committed")
+            self.commit(base, kept + new)
             self.vacuum()
         return base
 
@@ -158,8 +170,8 @@ class ShardStore:
         shards = self.manifest(version)
         if not shards:
             return self.spark.createDataFrame([], self.schema).withColumn(shard, F.lit(None).cast("long"))
-        names = self.spark.createDataFrame([(s["path"].rpartition("/")[2], s["shard"]) for s in shards], f"__file string, `{shard}` long")
-        rows = self.spark.read.schema(self.schema).parquet(*[self.folder + "/" + s["path"] for s in shards]).withColumn("__file", F.col("_metadata.file_name"))
+        names = self.spark.createDataFrame([(_short(s["path"]), s["shard"]) for s in shards], f"__file string, `{shard}` long")
+        rows = self.spark.read.schema(self.schema).parquet(*[self.folder + "/" + s["path"] for s in shards]).withColumn("__file", _name())
         return rows.join(F.broadcast(names), "__file").drop("__file")
 
 

@@ -194,6 +194,13 @@ def test_shards(spark, odd, docs):
     shards = store.manifest()
     assert sum(s["rows"] for s in shards) == docs.count() and not store.plan(shards)
     assert store.read().drop("shard").exceptAll(docs).count() == 0
+    many = sharding.ShardStore(spark, Scratch(spark, "s").path("store"), docs.schema, target_bytes=60_000, fan_in=2)
+    many.append(docs.repartition(24))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # several groups in one task
+    many.compact()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(many.manifest()) > 3 and many.read().count() == docs.count() and many.read().drop("shard").exceptAll(docs).count() == 0
+    assert {r.shard: r["count"] for r in many.read().groupBy("shard").count().collect()} == {s["shard"]: s["rows"] for s in many.manifest()}
     base = store.version()
     store.commit(base, shards)
     with pytest.raises(sharding.Conflict):
