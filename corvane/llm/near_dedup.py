@@ -10,7 +10,9 @@ Links are confirmed on whole sets. A bit of each of 640 signature values makes a
 fewer bits than a likeness of 0.8 gives at six standard deviations are not compared. In a bucket members are first
 compared with one member (a star), the one that shares most buckets with others and so is nearest to the group's
 common text, and only across components found so far; so a group of n near copies costs about n
-comparisons. What stars leave open is compared in full, but only across components.
+comparisons. What stars leave open is compared in full, but only across components: in small buckets by a join, in
+large ones by blocks of at most ``ROWS`` rows of the bucket's largest component against as many of the others, so no
+task holds a bucket and no pair is emitted that is not a link.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ BANDS, WIDTH, PERCENT, SEED = 84, 8, 80, 20240607
 OPEN, STARS, CENTRES = 2, 8, 8
 #: Bits of a sketch, and the least that agree: 0.9 * 640 less six standard deviations.
 BITS, AGREE = 640, 530
+#: In buckets up to this size all open pairs are joined; in larger ones they are compared in blocks of rows.
+SMALL, ROWS = 64, 1000
 #: Links up to this number are joined by one task; more by rounds of joins, with equal results.
 ONE_TASK = 1_000_000
 #: Ids that may be broadcast to read the texts of candidates; more are joined by a shuffle.
@@ -167,6 +171,59 @@ def components(edges: DataFrame, scratch: Scratch, name: str, one_task: int = ON
             return own
 
 
+def _agreeing(bits: np.ndarray, all_bits: np.ndarray) -> np.ndarray:
+    """Bits of a sketch that agree with each of others."""
+    return BITS - np.bitwise_count(bits ^ all_bits).sum(1, dtype=np.int64)
+
+
+def links_of_block(block: pd.DataFrame) -> pd.DataFrame:
+    """Links between the rows of two sides of a bucket (``other`` and not), or within ``other`` if ``within``.
+
+    A row is compared with the likeliest rows first and, once linked to a component, no more with that component.
+    """
+    words = [f"s{i}" for i in range(BITS // 64)]
+    doc, n, part = (block[c].to_numpy() for c in ("doc", "n", "component"))
+    bits, sets, other = block[words].to_numpy(np.int64).view(np.uint64), block["set"].to_numpy(), block["other"].to_numpy(bool)
+    within = bool(block["within"].iloc[0])
+    right = np.flatnonzero(other if within else ~other)
+    out = []
+    for i in np.flatnonzero(other).tolist():
+        agree = _agreeing(bits[i], bits[right])
+        fine = (agree >= AGREE) & (part[right] != part[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))
+        if within:
+            fine &= doc[right] > doc[i]
+        likely, linked = right[fine][np.argsort(-agree[fine], kind="stable")], set()
+        for j in likely.tolist():
+            if part[j] in linked:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= PERCENT * (n[i] + n[j] - both):
+                linked.add(part[j])
+                out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def large_bucket_links(rows: DataFrame, sets: DataFrame, size: int = ROWS) -> DataFrame:
+    """All links across components that stars left in buckets. ``rows``: key, doc, n, component, sketch, and of the key
+    ``main`` (its largest component), ``k`` (that one's rows) and ``m`` (all rows).
+
+    Rows of the main component and the others get blocks by a hash; every pair of blocks that must meet is a group.
+    """
+    rows = rows.withColumn("other", F.col("component") != F.col("main"))
+    mains, others = (F.greatest(F.lit(1), F.ceil(x / size)).cast("int") for x in (F.col("k"), F.col("m") - F.col("k")))
+    own = F.pmod(F.xxhash64("doc"), F.when(F.col("other"), others).otherwise(mains).cast("long")).cast("int")
+    meets = lambda within, i, j: F.struct(F.lit(within).alias("within"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    of_main = F.transform(upto(others), lambda o: meets(False, F.col("own"), o))
+    of_other = F.concat(
+        F.transform(upto(mains), lambda o: meets(False, o, F.col("own"))),
+        F.transform(upto(others), lambda o: meets(True, F.least(o, F.col("own")), F.greatest(o, F.col("own")))),
+    )
+    placed = rows.withColumn("own", own).withColumn("at", F.explode(F.when(F.col("other"), of_other).otherwise(of_main)))
+    placed = placed.select("key", "at.*", "doc", "n", "component", "other", *[f"s{i}" for i in range(BITS // 64)]).join(sets, "doc")
+    return placed.groupBy("key", "within", "i", "j").applyInPandas(links_of_block, "a long, b long").distinct()
+
+
 class _Linker:
     """Confirms pairs on whole sets and keeps what was confirmed and compared so far."""
 
@@ -193,9 +250,13 @@ class _Linker:
         common = F.size(F.array_intersect("x", "y"))
         found = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), common.alias("both"))
         found = self.scratch.write(found.where(100 * F.col("both") >= PERCENT * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"), f"links{self.round}")
+        self.take(found)
+
+    def take(self, found: DataFrame) -> None:
+        """Labels components anew with these links."""
         if self.labels is not None:  # what is joined already counts as one link for each document
-            found = self.scratch.write(found.union(self.labels.select("doc", "component").where("doc <> component")), f"all{self.round}")
-        self.labels = components(found, self.scratch, f"labels{self.round}")
+            found = found.union(self.labels.select("doc", "component").where("doc <> component"))
+        self.labels = components(self.scratch.write(found, f"all{self.round}"), self.scratch, f"labels{self.round}")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
@@ -232,8 +293,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         labelled = linker.labelled(buckets)
         if turn:
             by_part = labelled.groupBy("key", "component").agg(F.count("*").alias("k"))
-            mixed = by_part.groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("s"), F.count("*").alias("parts")).where("parts > 1")
-            buckets = scratch.write(buckets.join(mixed.select("key", ((F.col("m") * F.col("m") - F.col("s")) / 2).alias("open")), "key"), f"open{turn}")
+            mixed = by_part.groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("s"), F.count("*").alias("parts"), F.max("k").alias("most"), F.max_by("component", "k").alias("main")).where("parts > 1")
+            mixed = mixed.select("key", ((F.col("m") * F.col("m") - F.col("s")) / 2).alias("open"), "m", F.col("most").alias("k"), "main")
+            buckets = scratch.write(buckets.drop("m", "k", "main").join(mixed, "key"), f"open{turn}")
             each = buckets.groupBy("key").agg(F.first("open").alias("open")).agg(F.sum("open")).first()[0]
             if not each:
                 break
@@ -241,9 +303,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
             done = turn == STARS or each <= limit or (last is not None and each > last * 2 / 3)
             last = each
             if done:
-                other = labelled.select("key", *[F.col(c).alias(f"{c}_") for c in ("doc", "n", "component", *bits)])
-                pairs = labelled.join(other, "key").where((F.col("doc") < F.col("doc_")) & alike)
+                small = labelled.where(F.col("m") <= SMALL)
+                other = small.select("key", *[F.col(c).alias(f"{c}_") for c in ("doc", "n", "component", *bits)])
+                pairs = small.join(other, "key").where((F.col("doc") < F.col("doc_")) & alike)
                 linker.confirm(pairs.select(F.col("doc").alias("a"), F.col("doc_").alias("b")).distinct())
+                linker.round += 1
+                linker.take(scratch.write(large_bucket_links(labelled.where(F.col("m") > SMALL), sets), f"links{linker.round}"))
                 break
         # the best hub; in later turns any, by a hash
         h = F.struct("hub", "doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))

@@ -85,8 +85,11 @@ def brute_components(rows, k):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_copies_of_one_text(spark, k):
+@pytest.mark.parametrize("k,small,stars", [(2, 64, 8), (5, 64, 8), (2, 2, 1), (5, 1, 1)])
+def test_near_copies_of_one_text(spark, monkeypatch, k, small, stars):
+    monkeypatch.setattr(near_dedup, "SMALL", small)  # larger buckets are compared in blocks
+    monkeypatch.setattr(near_dedup, "STARS", stars)
+    monkeypatch.setattr(near_dedup.large_bucket_links, "__defaults__", (7,))
     rng = random.Random(k)
     base = [rng.choice(["ab", "cd", "ef", "gh"]) + str(rng.randint(0, 99)) for _ in range(120)]
     rows = [(i, " ".join("X%d" % rng.randint(0, 9) if rng.random() < p else w for w in base)) for i in range(120) for p in [rng.choice([0, 0.01, 0.03, 0.08])]]
