@@ -280,14 +280,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     ids = scratch.write(buckets.select("doc").distinct(), "candidates")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = scratch.write(own.join(few, "doc", "left_semi").mapInPandas(_sets(shingle), "doc long, set array<long>"), "sets")
-    sketches = signed.select("doc", *[F.col("bits")[i].alias(f"s{i}") for i in range(BITS // 64)]).join(few, "doc", "left_semi").dropDuplicates(["doc"])
+    bits = [f"s{i}" for i in range(BITS // 64)]
+    sketches = signed.select("doc", *[F.col("bits")[i].alias(c) for i, c in enumerate(bits)]).join(few, "doc", "left_semi").dropDuplicates(["doc"])
+    sketches = scratch.write(sketches, "sketches")  # bucket rows stay slim; pairs get the sketches of their two documents
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
     hubs = buckets.join(sizes, "key").groupBy("doc").agg(F.sum("size").alias("hub"))
-    buckets = scratch.write(buckets.join(sketches.join(hubs, "doc"), "doc"), "buckets")
+    buckets = scratch.write(buckets.join(hubs, "doc"), "buckets")
     linker = _Linker(scratch, sets)
-    bits = [f"s{i}" for i in range(BITS // 64)]
     agree = BITS - sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in bits)
-    alike = (100 * F.least("n", "n_") >= PERCENT * F.greatest("n", "n_")) & (agree >= AGREE) & (F.col("component") != F.col("component_"))
+    fits = (100 * F.least("n", "n_") >= PERCENT * F.greatest("n", "n_")) & (F.col("component") != F.col("component_"))
+    others = sketches.toDF("doc_", *[f"{c}_" for c in bits])
     limit, last = OPEN * buckets.count(), None
     for turn in range(STARS + 1):
         labelled = linker.labelled(buckets)
@@ -303,17 +305,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
             done = turn == STARS or each <= limit or (last is not None and each > last * 2 / 3)
             last = each
             if done:
-                small = labelled.where(F.col("m") <= SMALL)
+                small = labelled.where(F.col("m") <= SMALL).join(sketches, "doc")
                 other = small.select("key", *[F.col(c).alias(f"{c}_") for c in ("doc", "n", "component", *bits)])
-                pairs = small.join(other, "key").where((F.col("doc") < F.col("doc_")) & alike)
+                pairs = small.join(other, "key").where((F.col("doc") < F.col("doc_")) & fits & (agree >= AGREE))
                 linker.confirm(pairs.select(F.col("doc").alias("a"), F.col("doc_").alias("b")).distinct())
                 linker.round += 1
-                linker.take(scratch.write(large_bucket_links(labelled.where(F.col("m") > SMALL), sets), f"links{linker.round}"))
+                linker.take(scratch.write(large_bucket_links(labelled.where(F.col("m") > SMALL).join(sketches, "doc"), sets), f"links{linker.round}"))
                 break
         # the best hub; in later turns any, by a hash
         h = F.struct("hub", "doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
-        centre = labelled.groupBy("key").agg(*[F.max_by(c, h).alias(f"{c}_") for c in ("doc", "n", "component", "hub", *bits)])
-        pairs = labelled.join(centre, "key").where(alike).select("doc", "doc_", "hub_").distinct()
+        centre = labelled.groupBy("key").agg(*[F.max_by(c, h).alias(f"{c}_") for c in ("doc", "n", "component", "hub")])
+        pairs = labelled.join(centre, "key").where(fits).select("doc", "doc_", "hub_").distinct()
+        pairs = pairs.join(sketches, "doc").join(others, "doc_").where(agree >= AGREE).select("doc", "doc_", "hub_")
         first = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("hub_"), "doc_"))
         pairs = pairs.withColumn("k", first).where(F.col("k") <= CENTRES)  # the others stay open
         linker.confirm(pairs.select(F.least("doc", "doc_").alias("a"), F.greatest("doc", "doc_").alias("b")).distinct())
