@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm._common import Scratch, parts, table
+from corvane.llm._common import Scratch, table
 from corvane.llm.bpe import Memo
 
 BANDS, WIDTH, PERCENT, SEED = 84, 8, 80, 20240607
@@ -39,7 +39,7 @@ BITS, AGREE = 640, 530
 SMALL, ROWS = 64, 1000
 #: Links up to this number are joined by one task; more by rounds of joins, with equal results.
 ONE_TASK = 1_000_000
-#: Ids that may be broadcast to read the texts of candidates; more are joined by a shuffle.
+#: Ids that may be broadcast to find copies and to read the texts of candidates; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _NONE = np.empty(0, np.int64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -259,6 +259,11 @@ class _Linker:
         self.labels = components(self.scratch.write(found, f"all{self.round}"), self.scratch, f"labels{self.round}")
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Ids to join with, broadcast if their number allows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (least id linked, itself included) and kept (doc_id = component_id) per row.
 
@@ -273,19 +278,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     signed = scratch.write(own.mapInPandas(_signatures(shingle), "doc long, n long, same binary, bands array<long>, bits array<long>"), "signatures")
     slim = signed.select("doc", "n", "same")
     classes = scratch.write(slim.where("n > 0").groupBy("same").agg(F.min("doc").alias("first")), "classes")
-    banded = signed.where("n > 0").join(classes.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi")
-    rows = banded.select("doc", "n", F.explode("bands").alias("key")).repartition(parts(spark), "key")
-    shared = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
-    buckets = scratch.write(rows.join(shared, "key", "left_semi"), "rows")
+    # the ids of copies are slimmer to send than the signatures of all others
+    copies = slim.where("n > 0").select("doc").distinct().join(classes.select(F.col("first").alias("doc")), "doc", "left_anti")
+    banded = signed.where("n > 0 AND doc IS NOT NULL").join(_few(scratch.write(copies.where("doc IS NOT NULL"), "copies")), "doc", "left_anti")
+    rows = banded.select("doc", "n", F.explode("bands").alias("key"))
+    of_key = Window.partitionBy("key")  # one shuffle of all rows tells which buckets are shared, and their sizes
+    rows = rows.select("key", "doc", "n", F.min("doc").over(of_key).alias("low"), F.max("doc").over(of_key).alias("high"), F.count("*").over(of_key).alias("size"))
+    buckets = scratch.write(rows.where("low < high").select("key", "doc", "n", "size"), "rows")
     ids = scratch.write(buckets.select("doc").distinct(), "candidates")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    few = _few(ids)
     sets = scratch.write(own.join(few, "doc", "left_semi").mapInPandas(_sets(shingle), "doc long, set array<long>"), "sets")
     bits = [f"s{i}" for i in range(BITS // 64)]
     sketches = signed.select("doc", *[F.col("bits")[i].alias(c) for i, c in enumerate(bits)]).join(few, "doc", "left_semi").dropDuplicates(["doc"])
     sketches = scratch.write(sketches, "sketches")  # bucket rows stay slim; pairs get the sketches of their two documents
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
-    hubs = buckets.join(sizes, "key").groupBy("doc").agg(F.sum("size").alias("hub"))
-    buckets = scratch.write(buckets.join(hubs, "doc"), "buckets")
+    hubs = buckets.groupBy("doc").agg(F.sum("size").alias("hub"))
+    buckets = scratch.write(buckets.drop("size").join(hubs, "doc"), "buckets")
     linker = _Linker(scratch, sets)
     agree = BITS - sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in bits)
     fits = (100 * F.least("n", "n_") >= PERCENT * F.greatest("n", "n_")) & (F.col("component") != F.col("component_"))
