@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm._common import Scratch, table
+from corvane.llm._common import Scratch, parts, table
 from corvane.llm.bpe import Memo
 
 BANDS, WIDTH, PERCENT, SEED = 84, 8, 80, 20240607
@@ -301,18 +301,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     for turn in range(STARS + 1):
         labelled = linker.labelled(buckets)
         if turn:
-            by_part = labelled.groupBy("key", "component").agg(F.count("*").alias("k"))
-            mixed = by_part.groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("s"), F.count("*").alias("parts"), F.max("k").alias("most"), F.max_by("component", "k").alias("main")).where("parts > 1")
-            mixed = mixed.select("key", ((F.col("m") * F.col("m") - F.col("s")) / 2).alias("open"), "m", F.col("most").alias("k"), "main")
-            buckets = scratch.write(buckets.drop("m", "k", "main").join(mixed, "key"), f"open{turn}")
-            each = buckets.groupBy("key").agg(F.first("open").alias("open")).agg(F.sum("open")).first()[0]
+            of_part = Window.partitionBy("key", "component")
+            open_ = labelled.repartition(parts(spark), "key").withColumn("k", F.count("*").over(of_part)).select(
+                "key", "doc", "n", "hub", "component",
+                *[f(c).over(of_key).alias(name) for name, f, c in (("m", F.count, "*"), ("s", F.sum, "k"), ("low", F.min, "component"), ("high", F.max, "component"), ("most", F.max, "k"))],
+                F.max_by("component", F.struct("k", "component")).over(of_key).alias("main"),
+            ).where("low < high")
+            open_ = open_.select("key", "doc", "n", "hub", "component", "m", F.col("most").alias("k"), "main", ((F.col("m") - F.col("s") / F.col("m")) / 2).alias("open"))
+            labelled = scratch.write(open_, f"open{turn}")  # a row's share of its bucket's open pairs
+            each = labelled.agg(F.sum("open")).first()[0]
             if not each:
                 break
-            labelled, buckets = linker.labelled(buckets), buckets.drop("open")
+            buckets = labelled.select("key", "doc", "n", "hub")
             done = turn == STARS or each <= limit or (last is not None and each > last * 2 / 3)
             last = each
             if done:
-                small = labelled.where(F.col("m") <= SMALL).join(sketches, "doc")
+                small = labelled.where(F.col("m") <= SMALL)
+                members = small.groupBy("key", "m").agg(*[F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"x{i}") for i in range(2)])
+                one = members.groupBy("m", "x0", "x1").agg(F.min("key").alias("key")).select("key")  # of buckets of the same documents
+                small = small.join(one, "key", "left_semi").join(sketches, "doc")
                 other = small.select("key", *[F.col(c).alias(f"{c}_") for c in ("doc", "n", "component", *bits)])
                 pairs = small.join(other, "key").where((F.col("doc") < F.col("doc_")) & fits & (agree >= AGREE))
                 linker.confirm(pairs.select(F.col("doc").alias("a"), F.col("doc_").alias("b")).distinct())
