@@ -9,6 +9,7 @@ one table entry for each feature and pair.
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,16 +41,14 @@ def features(text: str | None) -> list[float]:
     n, k = max(1, len(data)), max(1, len(words))
     kinds = np.bincount(_KIND, np.bincount(np.frombuffer(data, np.uint8), minlength=256), 8) / n
     lines = data.split(b"\n")
-    distinct = set(words)
+    counts = Counter(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    half = words[0 : len(words) : 2]
-    most = max(map(half.count, sorted(set(half[:8])))) / max(1, len(half)) if half else 0.0
     ends = bytes([w[-1] for w in words])
     stops = sum(map(ends.count, b".?"))
     marks = len(ends) - len(ends.translate(None, b"!#$%&*|=~^<>@+_{}[]\\/"))
     return [
-        np.log1p(len(data)), np.log1p(len(words)), lengths.sum() / k, kinds[0], kinds[1], kinds[2], kinds[3], kinds[4] * 10, kinds[5], kinds[6], kinds[7], len(distinct) / k,
-        sum(map(bytes.__eq__, words, words[1:])) / k, len(set(lines)) / len(lines), (lengths <= 3).sum() / k, (lengths >= 12).sum() / k, marks / k, stops / k, most, len(set(zip(words, words[1:]))) / k,
+        np.log1p(len(data)), np.log1p(len(words)), lengths.sum() / k, kinds[0], kinds[1], kinds[2], kinds[3], kinds[4] * 10, kinds[5], kinds[6], kinds[7], len(counts) / k,
+        sum(map(bytes.__eq__, words, words[1:])) / k, len(set(lines)) / len(lines), (lengths <= 3).sum() / k, (lengths >= 12).sum() / k, marks / k, stops / k, max(counts.values(), default=0) / k, len(set(zip(words, words[1:]))) / k,
     ]
 
 

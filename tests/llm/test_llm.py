@@ -230,6 +230,12 @@ def test_quality(spark, odd, docs):
     assert quality.keep_good(odd, model).columns == odd.columns
 
 
+def test_most_frequent_is_of_the_whole_text():
+    at = quality.FEATURES.index("most_frequent")
+    texts = [" ".join([*map(str, range(40)), *["late"] * 60]), " ".join(f"w{i} odd" for i in range(50)), "one", "", None]
+    assert [quality.features(t)[at] for t in texts] == [0.6, 0.5, 1.0, 0.0, 0.0]
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
