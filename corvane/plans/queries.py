@@ -132,7 +132,7 @@ def term_fold(spark, d):
 
 def translation_gate(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = curate.gated(docs, "text", lambda s: F.substring(s, 1, 1000), lambda s, why: s, "final")
+    out = curate.gated(docs, "text", lambda s: F.regexp_replace(s, "(?i)(?<![a-z])the(?![a-z])", "những"), lambda s, why: s, "final")  # a stand-in for a translator
     return out.groupBy(F.coalesce("fault", F.lit("kept")).alias("fault")).agg(F.count("*").alias("n"))
 
 
