@@ -143,11 +143,21 @@ def fen_material(spark, d):
     return _t(spark, d, "documents").select("doc_id", material(fen).alias("m")).select("doc_id", "m.white", "m.black")
 
 
+def placed_by(row):
+    """A position with a piece on each rank, by hashes of an id; black is to move and does not attack the white king."""
+
+    def rank(r: int, pieces: str):
+        at = F.pmod(F.xxhash64(row, F.lit(r)), F.lit(8 * len(pieces)))
+        return F.element_at(F.array(*[F.lit(f"{f or ''}{p}{7 - f or ''}") for p in pieces for f in range(8)]), (at + 1).cast("int"))
+
+    ranks = [rank(8, "k"), *[rank(r, "PNBRQppp") for r in range(7, 2, -1)], rank(2, "PNBRQ"), rank(1, "K")]
+    return F.when(row.isNotNull(), F.concat(F.concat_ws("/", *ranks), F.lit(" b - - 0 1")))
+
+
 def chess_facts(spark, d):
     from corvane.operators.positions import with_facts
 
-    boards = ["rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR", "r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R", "7k/5Q2/6K1/8/8/8/8/8", "7k/6Q1/6K1/8/8/8/8/8"]
-    rows = _t(spark, d, "documents").select("doc_id", F.concat(F.element_at(F.array(*map(F.lit, boards)), (F.col("doc_id") % 4 + 1).cast("int")), F.lit(" b - - 0 1")).alias("fen"))
+    rows = _t(spark, d, "documents").select("doc_id", placed_by(F.col("doc_id")).alias("fen"))
     return with_facts(rows).select("doc_id", F.size("facts.legal_moves").alias("n_legal"), "facts.in_check", "facts.is_checkmate", "facts.is_stalemate", "facts.white", "facts.black")
 
 

@@ -54,3 +54,17 @@ def test_translation_gate_reads_whole_texts(spark, tmp_path):
     for d in (str(tmp_path), SF):
         rows = spark.read.parquet(f"{d}/documents.parquet").select("text").collect()
         assert run(d) == Counter(gate(r.text or "") or "kept" for r in rows)
+
+
+def test_chess_facts_of_many_positions(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.chess.udf import facts_of
+    from corvane.plans.queries import placed_by
+
+    fens = {r.doc_id: r.fen for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", placed_by(F.col("doc_id")).alias("fen")).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in registry.QUERIES["chess_facts"](spark, SF).collect()}
+    assert len(set(fens.values())) == len(fens) == len(got)
+    for i, fen in fens.items():
+        f = facts_of(fen)
+        assert got[i] == (len(f[2]), *f[9:12], *f[5:7])
