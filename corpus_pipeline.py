@@ -20,7 +20,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least id, of each group linked by five-word shingles at 0.8 or more."""
-    return near_dedup.keep_one(docs, shingle=5)
+    return near_dedup.keep_one(docs, shingle=5, repeats=False)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm._common import Scratch, parts, table
+from corvane.llm._common import WORD, Scratch, parts, table
 from corvane.llm.bpe import Memo
 
 BANDS, WIDTH, PERCENT, SEED = 84, 8, 80, 20240607
@@ -344,10 +344,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """One document of each group of near duplicates, the one of the least id, with its columns unchanged."""
-    gone = near_duplicates(docs, id_col=id_col, text=text, shingle=shingle).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 5, repeats: bool = True) -> DataFrame:
+    """One document of each group of near duplicates, the one of the least id, with its columns unchanged.
+
+    Rows without id are known by a hash of their text, one row for each text, and come after all ids below 2^62.
+    ``repeats``: rows that repeat an id and its text all stay, else one of them. Texts without words all stay.
+    """
+    words = F.coalesce(F.col(text).cast("string").rlike(WORD), F.lit(False))
+    by_text = F.xxhash64(F.col(text).cast("string")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), by_text))
+    gone = near_duplicates(keyed, id_col="__key", text=text, shingle=shingle).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    left = keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    copy = words & F.col(id_col).isNull() if repeats else words
+    many = keyed.where(copy).groupBy("__key").count().where("count > 1").select("__key")
+    many = Scratch(docs.sparkSession, "repeats").write(many, "keys")
+    if many.isEmpty():
+        return left.drop("__key")
+    rest = left.join(many, "__key", "left_anti")
+    again = left.join(many, "__key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("__key", text).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    once = again.where(copy).withColumn("__row", first).where("__row = 1")
+    return rest.unionByName(again.where(~copy)).unionByName(once.drop("__row")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_min_max_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

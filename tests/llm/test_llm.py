@@ -113,6 +113,15 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert near_dedup.keep_one(odd).columns == odd.columns and near_dedup.keep_one(odd).count() == len(ROWS)
 
 
+def test_keep_one_of_copies_without_id_or_with_a_repeated_id(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, "a b c d e f", "x"), (None, "A b c d e f", "y"), (None, long, "x"), (None, long, "y"), (None, long + " end", "z"), (7, "six of one", "x"), (7, "six of one", "y"), (7, "a b c d e f", "z"), (8, "", "x"), (8, "", "y"), (None, None, "x"), (None, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in near_dedup.keep_one(df.where("source <> 'z' OR doc_id IS NULL"), repeats=False).collect()]
+    assert sorted((r[0] or 0, r[1] or "") for r in got if r[1] not in (long, long + " end")) == [(0, ""), (0, ""), (1, "a b c d e f"), (7, "six of one"), (8, ""), (8, "")]
+    assert sum(r[1] in (long, long + " end") for r in got) == 1 and set(got) <= set(rows)
+
+
 # mixing
 
 
