@@ -177,10 +177,10 @@ def main_text(html: str | None) -> str:
             total += len(text)
             for c in chain:
                 votes[c] = votes.get(c, 0) + len(text)
-    # the innermost container with most of the content, but no part of an article
+    # an article with most of the content, else the innermost container with all of it
     best, inside = None, False
     for c in sorted(votes):
-        if votes[c] >= 0.6 * total and not inside:
+        if votes[c] >= (0.6 if parser.kinds[c] in CONTENT else 1) * total and not inside:
             best, inside = c, parser.kinds[c] in CONTENT
     if best is not None and parser.kinds[best] not in ("html", "body"):
         kept = [t for t, _, _, chain in lines if best in chain]

@@ -281,6 +281,14 @@ def test_pages(spark):
     assert {r.page_id: r.n_chars for r in html_text.page_texts(df).collect()} == {1: 35, 2: 0}
 
 
+def test_pages_of_divs_only():
+    first, second = ("first words of it " * 20).strip(), ("then more of it all " * 34).strip()
+    page = f"<html><body><div class=menu>menu</div><div id=content><h1>Title</h1><div><p>{first}</p></div><div><p>{second}</p></div></div><div class=footer>foot</div></body></html>"
+    assert html_text.main_text(page) == f"Title\n\n{first}\n\n{second}"
+    quoted = f"<html><body><div id=content><p>short</p><p>{first}</p><blockquote><p>{first}</p><p>{first}</p></blockquote></div></body></html>"
+    assert html_text.main_text(quoted) == "\n\n".join(["short", first, first, first])
+
+
 def test_pages_against_the_templates(spark):
     import html
     import re
