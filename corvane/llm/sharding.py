@@ -133,7 +133,9 @@ class ShardStore:
         return [g for g in groups if len(g) > 1]
 
     def compact(self) -> int:
-        """Merges by ``plan`` until no tier has a run; every merge is one job and one commit."""
+        """Merges by ``plan`` until no tier has a run; every merge is one job and one commit.
+
+        Older versions stay readable, with their files, until the caller calls ``vacuum``."""
         while groups := self.plan(shards := self.manifest(base := self.version())):
             of = [(_short(s["path"]), i) for i, g in enumerate(groups) for s in g]
             names = self.spark.createDataFrame(of, "__file string, __group int")  # a row for each file that is merged
@@ -149,7 +151,6 @@ class ShardStore:
             if sum(s["rows"] for s in new) != sum(s["rows"] for g in groups for s in g):
                 raise RuntimeError("a merge lost or gained rows; nothing was committed")
             self.commit(base, kept + new)
-            self.vacuum()
         return base
 
     def vacuum(self) -> None:

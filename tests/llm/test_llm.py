@@ -223,6 +223,16 @@ def test_shards(spark, odd, docs):
     assert none.read().count() == 0
 
 
+def test_merges_keep_older_versions(spark, docs):
+    store = sharding.ShardStore(spark, Scratch(spark, "s").path("store"), docs.schema, target_bytes=60_000, fan_in=2)
+    old = store.append(docs.repartition(8))
+    store.compact()
+    assert store.version() > old
+    assert all(store.read(v).drop("shard").exceptAll(docs).count() == 0 and store.read(v).count() == docs.count() for v in range(old, store.version() + 1))
+    store.vacuum()
+    assert store.read().count() == docs.count()
+
+
 # quality and language
 
 
