@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import sampling
 
 
 def text_reasons(*texts: Column, run: int = 8, terms: dict[str, str] | None = None, variants: dict[str, str] | None = None) -> Column:
@@ -56,10 +57,30 @@ def history(turns: DataFrame, conversation: str, order: str, role: str, text: st
     return turns.groupBy(conversation).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("history"))
 
 
-def prompt(system: Column, past: Column, facts: Column, question: Column, marks: tuple[str, str, str]) -> Column:
-    """System, history if there is one, facts, question and answer mark, between blank lines."""
-    block = F.when(F.coalesce(past, F.lit("")) != "", F.concat(F.lit(marks[0] + "\n"), past))
-    return F.concat_ws("\n\n", system, block, facts, F.concat(F.lit(marks[1] + "\n"), question), F.lit(marks[2]))
+def examples(df: DataFrame, order: str, *, system: str, limit: int | None = None, question: tuple[str, ...] = ("question", "prompt", "instruction"), answer: tuple[str, ...] = ("answer", "completion", "response"), fen: str = "fen") -> DataFrame:
+    """``chat_examples`` of the aliases a frame has, in ``order``; ``limit`` counts rows that are kept. A frame without
+    a column for questions or for answers gives no rows."""
+    have = lambda names: [n for n in names if n in df.columns]
+    q, a = have(question), have(answer)
+    if not q or not a:
+        return df.limit(0).withColumn("messages", F.lit(None).cast("array<struct<role:string,content:string>>"))
+    rows = chat_examples(df, system, question=q, answer=a, fen=fen if fen in df.columns else None)
+    return rows if limit is None else rows.orderBy(order).limit(limit)
+
+
+def rl_rows(puzzles: DataFrame, key: str, system: str, user: str, *, limit: int | None = None, seed: int = sampling.SEED) -> DataFrame:
+    """(prompt messages, fen, solution, primary_theme, rating_bucket) in balanced order. ``limit`` counts puzzles before
+    those without position or solution are left out. ``user``: a format string for the position."""
+    rows = sampling.balanced_order(puzzles, key, limit, seed=seed).where(F.col("fen").isNotNull() & (F.size("solution") > 0))
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    ask = F.array(message("system", F.lit(system)), message("user", F.format_string(user, F.col("fen"))))
+    return rows.select(ask.alias("prompt"), "fen", "solution", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("primary_theme", "rating_bucket")])
+
+
+def dialogue(messages: Column) -> Column:
+    """The turns of an array of messages that have a role; raises where none is left."""
+    turns = F.filter(messages, lambda m: m.isNotNull() & m["role"].isNotNull())
+    return F.when(F.coalesce(F.size(turns), F.lit(0)) > 0, turns).otherwise(F.raise_error(F.lit("no message")).cast("array<struct<role:string,content:string>>"))
 
 
 def first_fine(attempts: DataFrame, key: str, attempt: str, text: str, fine: Column, fallback: Column | str, most: int) -> DataFrame:

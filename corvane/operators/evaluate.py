@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.sources.scratch import Scratch
+
 
 def accuracy(results: DataFrame, slices: list[str], correct: str = "correct", legal: str = "legal") -> DataFrame:
     """Overall and for each value of each slice: slice, value, n, hits, accuracy, legal_rate (4 digits)."""
@@ -53,17 +55,27 @@ def agreement(scores: DataFrame, raters: int) -> DataFrame:
     return means.select("axis", "metric", "who", "value", "n").unionByName(long.select("axis", "metric", "who", "value", "n"))
 
 
-def nearest_rank(df: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """q and the value of rank min(n - 1, floor(q * n)) from 0 in ascending order; q 1.0 is the greatest.
+def nearest_rank(df: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99), *, ranges: int = 64) -> DataFrame:
+    """q and the value of rank min(n - 1, floor(q * n)) from 0 in ascending order; q 1.0 is the greatest. Nulls do not
+    count; without values there are no rows.
 
-    Values are counted first, so what is ranked in one place has a row for each distinct value.
+    Values are counted and cut into ranges of about equal numbers of distinct ones; the ranges' totals tell which hold
+    the ranks, and only those are ranked.
     """
+    spark = df.sparkSession
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counts = counts.withColumns({"upto": upto, "n": F.sum("k").over(Window.partitionBy())})
-    q = F.explode(F.array(*[F.lit(float(s)) for s in (*shares, 1.0)]))
-    rank = F.least(F.col("n") - 1, F.floor(F.col("q") * F.col("n")))
-    return counts.withColumn("q", q).where(F.col("upto") > rank).groupBy("q").agg(F.min("v").alias("value"))
+    counts = counts.repartitionByRange(ranges, "v").withColumn("p", F.spark_partition_id())
+    counts = Scratch(spark, "ranks").write(counts, "counts")
+    totals = counts.groupBy("p").agg(F.sum("k").alias("k")).orderBy("p").collect()  # a row for each range
+    n, before, wanted = sum(t["k"] for t in totals), 0, []
+    ranks = [(float(q), min(n - 1, int(q * n))) for q in (*shares, 1.0)] if n else []
+    for t in totals:
+        wanted += [(q, t["p"], rank - before) for q, rank in ranks if before <= rank < before + t["k"]]
+        before += t["k"]
+    upto = F.sum("k").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    asked = F.broadcast(spark.createDataFrame(wanted, "q double, p int, rank long"))  # a row for each share
+    found = counts.where(F.col("p").isin([p for _, p, _ in wanted])).withColumn("upto", upto).join(asked, "p")
+    return found.where(F.col("upto") > F.col("rank")).groupBy("q").agg(F.min("v").alias("value"))
 
 
 def reason_report(df: DataFrame, reasons: str) -> DataFrame:

@@ -31,15 +31,32 @@ def listed(column: Column) -> Column:
     return F.filter(F.split(T.strip(F.coalesce(column, F.lit(""))), r"\s+"), lambda x: x != "")
 
 
+def _alias(rows: DataFrame, *names: str) -> Column:
+    """The first of these columns that a frame has, in any case; null if it has none."""
+    have = {c.lower(): c for c in reversed(rows.columns)}
+    found = next((have[n.lower()] for n in names if n.lower() in have), None)
+    return F.col(f"`{found}`") if found else F.lit(None).cast("string")
+
+
+def _words(rows: DataFrame, name: str) -> Column:
+    """A column of words between white space, or of an array, without empty ones."""
+    kind = {c.lower(): t for c, t in rows.dtypes}.get(name.lower(), "")
+    column = _alias(rows, name)
+    if kind.startswith("array"):
+        return F.filter(F.coalesce(column.cast("array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+    return listed(column)
+
+
 def puzzles(rows: DataFrame, *, width: int = 400) -> DataFrame:
-    """From (PuzzleId, FEN, Moves, Rating, Themes) as texts: one prepared puzzle for each row, or its ``error``."""
-    df = rows.withColumn("__moves", listed(F.col("Moves"))).withColumn("themes", F.array_sort(listed(F.col("Themes"))))
-    df = df.withColumn("r", K.replay("FEN", "__moves"))
-    rating = F.coalesce(F.col("Rating").cast("int"), F.lit(0))
-    name = F.coalesce(F.when(~F.col("PuzzleId").cast("string").isin("", "0"), F.col("PuzzleId").cast("string")), F.col("FEN"))
+    """From (PuzzleId or id, FEN, Moves, Rating, Themes; moves and themes as texts or arrays, names in any case): one
+    prepared puzzle for each row, or its ``error``. An id that is empty or 0 gives way to the other, then to the FEN."""
+    df = rows.select(*[c.alias(n) for n, c in (("__id", _alias(rows, "PuzzleId")), ("__id2", _alias(rows, "id")), ("__fen", _alias(rows, "FEN")), ("__moves", _words(rows, "Moves")), ("__themes", F.array_sort(_words(rows, "Themes"))), ("__rating", _alias(rows, "Rating")))])
+    df = df.withColumn("r", K.replay("__fen", "__moves"))
+    rating = F.coalesce(F.col("__rating").cast("int"), F.lit(0))
+    given = lambda c: F.when(~F.col(c).cast("string").isin("", "0"), F.col(c).cast("string"))
     return df.select(
-        name.alias("puzzle_id"), F.col("FEN").alias("setup_fen"), F.try_element_at("__moves", F.lit(1)).alias("opponent_move"), F.col("r.fen").alias("fen"), F.col("r.solution").alias("solution"),
-        rating.alias("rating"), rating_bucket(rating, width).alias("rating_bucket"), "themes", F.coalesce(F.try_element_at("themes", F.lit(1)), F.lit(UNTAGGED)).alias("primary_theme"), F.col("r.error").alias("error"),
+        F.coalesce(given("__id"), given("__id2"), F.col("__fen")).alias("puzzle_id"), F.col("__fen").alias("setup_fen"), F.try_element_at("__moves", F.lit(1)).alias("opponent_move"), F.col("r.fen").alias("fen"), F.col("r.solution").alias("solution"),
+        rating.alias("rating"), rating_bucket(rating, width).alias("rating_bucket"), F.col("__themes").alias("themes"), F.coalesce(F.try_element_at("__themes", F.lit(1)), F.lit(UNTAGGED)).alias("primary_theme"), F.col("r.error").alias("error"),
     )
 
 
@@ -51,13 +68,30 @@ def label_reasons(answer: Column, fen: Column, label: Column) -> Column:
 
 
 def with_facts(rows: DataFrame, fen: str = "fen") -> DataFrame:
-    """Adds the struct ``facts``, worked out once for each distinct position."""
-    return through_distinct(rows, fen, lambda d, c: d.withColumn("facts", K.facts(c)), "facts")
+    """Adds the struct ``facts``, worked out once for each distinct position; null for what is none."""
+    known = lambda d: d.withColumn("facts", F.when(F.col("facts.fen").isNotNull(), F.col("facts")))
+    return through_distinct(rows, fen, lambda d, c: known(d.withColumn("facts", K.facts(c))), "facts")
+
+
+#: Openings that are broadcast at most; a longer book is joined by a shuffle.
+BOOK_ROWS = 100_000
+
+
+def _book(book: DataFrame) -> DataFrame:
+    own = book.select(F.col("epd").alias("__epd"), F.col("opening").alias("__opening"))
+    return F.broadcast(own) if own.limit(BOOK_ROWS + 1).count() <= BOOK_ROWS else own
 
 
 def with_opening(rows: DataFrame, book: DataFrame, epd: str) -> DataFrame:
-    """Adds ``opening`` from a book (epd, opening); the book is as long as its list of lines, and is broadcast."""
-    return rows.join(F.broadcast(book.withColumnRenamed("epd", "__epd")), F.col(epd) == F.col("__epd"), "left").drop("__epd")
+    """Adds ``opening`` from a book (epd, opening), null without an entry."""
+    return rows.join(_book(book), F.col(epd) == F.col("__epd"), "left").withColumnRenamed("__opening", "opening").drop("__epd")
+
+
+def with_deepest_opening(games: DataFrame, book: DataFrame, key: str, fen: str, moves: str) -> DataFrame:
+    """Adds ``opening``: the book's name of the last position that a game reaches and the book has. Games start from
+    ``fen`` (the start if null) and are played up to their first illegal move."""
+    plies = games.select(key, F.posexplode(K.reached(fen, moves)).alias("ply", "epd")).join(_book(book), F.col("epd") == F.col("__epd"))
+    return games.join(plies.groupBy(key).agg(F.max_by("__opening", "ply").alias("opening")), key, "left")
 
 
 def material(fen: Column) -> Column:
@@ -65,21 +99,3 @@ def material(fen: Column) -> Column:
     board = F.substring_index(fen, " ", 1)
     total = lambda letters: sum(F.regexp_count(board, F.lit(c)) * K.VALUES[c.upper()] for c in letters)
     return F.struct(total("PNBRQ").alias("white"), total("pnbrq").alias("black"))
-
-
-def moves_text(moves: Column, limit: int = 12, none: str = "không có", total: str = ", ... (tổng %d)") -> Column:
-    shown = F.array_join(F.slice(moves, 1, limit), ", ")
-    return F.when(F.size(moves) == 0, none).when(F.size(moves) > limit, F.concat(shown, F.format_string(total, F.size(moves)))).otherwise(shown)
-
-
-def eval_text(side: Column, centipawns: Column, mate: Column) -> Column:
-    """An engine's verdict for the side to move; null without one. Within 0.30 pawns it is balanced."""
-    pawns = F.format_string("%+.2f", centipawns / 100)
-    verdict = F.when(F.abs(centipawns) < 30, "thế cân bằng").when(centipawns > 0, F.concat(side, F.lit(" đang ưu thế"))).otherwise(F.concat(side, F.lit(" đang bất lợi")))
-    scored = F.concat(pawns, F.lit(" tốt theo góc nhìn "), side, F.lit(" ("), verdict, F.lit(")"))
-    return (
-        F.when(mate > 0, F.concat(side, F.lit(" có chiếu hết sau "), mate.cast("string"), F.lit(" nước")))
-        .when(mate < 0, F.concat(side, F.lit(" bị chiếu hết sau "), F.abs(mate).cast("string"), F.lit(" nước")))
-        .when(mate == 0, F.concat(side, F.lit(" đã bị chiếu hết")))
-        .when(centipawns.isNotNull(), scored)
-    )

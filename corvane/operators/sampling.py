@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SEED, WIDTH, UNTAGGED = 20240911, 400, "untagged"
+from corvane.sources.scratch import Scratch
+
+#: Seed, width of a rating bucket, and names of what has no theme or bucket.
+SEED, WIDTH, UNTAGGED, NO_BUCKET = 20240911, 400, "untagged", "?"
 
 
 def rating_bucket(rating: Column, width: int = WIDTH) -> Column:
@@ -24,20 +27,30 @@ def _order(key: Column, seed: int) -> Column:
 def round_robin(df: DataFrame, cells: list[str], key: str, size: int | None = None, *, seed: int = SEED) -> DataFrame:
     """One row of each cell a pass, cells in order, rows of a cell by a seeded hash of ``key``; the first ``size``.
 
-    Adds ``rn``, the pass. Only the ranking within cells needs a cell's rows together; the cut is a top-k.
+    Adds ``rn``, the pass. With a size no cell gives more rows than it, so each task first cuts its part of a cell to
+    that many; then the cut is a top-k.
     """
     w = Window.partitionBy(*cells).orderBy(_order(F.col(key), seed), key)
     out = df.withColumn("rn", F.row_number().over(w))
-    return out if size is None else out.orderBy("rn", *cells).limit(size)
+    return out if size is None else out.where(F.col("rn") <= size).orderBy("rn", *cells).limit(size)
 
 
 def test_then_train(df: DataFrame, cells: list[str], key: str, test: int, train: int, *, seed: int = SEED) -> DataFrame:
-    """Round robin for the test rows first, then anew over what is left for the train rows; ``split`` names which."""
+    """Round robin for the test rows first, then anew over what is left for the train rows; ``split`` names which.
+    The test rows are written once, as both parts need them."""
     first = round_robin(df, cells, key, test, seed=seed).drop("rn").withColumn("split", F.lit("test"))
+    first = Scratch(df.sparkSession, "split").write(first, "test")
     rest = df.join(first.select(key), key, "left_anti")
     return first.unionByName(round_robin(rest, cells, key, train, seed=seed).drop("rn").withColumn("split", F.lit("train")))
 
 
+def balanced_order(df: DataFrame, key: str, size: int | None = None, *, theme: str = "primary_theme", bucket: str = "rating_bucket", seed: int = SEED) -> DataFrame:
+    """``round_robin`` over themes and buckets; rows without one are in the cells ``untagged`` and ``?``."""
+    filled = lambda c, none: F.coalesce(F.when(F.col(c) != "", F.col(c).cast("string")), F.lit(none))
+    cells = df.withColumns({"__theme": filled(theme, UNTAGGED), "__bucket": filled(bucket, NO_BUCKET)})
+    return round_robin(cells, ["__theme", "__bucket"], key, size, seed=seed).drop("__theme", "__bucket")
+
+
 def leaks(a: DataFrame, b: DataFrame, key: str) -> int:
     """Rows of ``a`` whose key is also in ``b``: must be 0."""
     return a.join(b.select(key), key, "left_semi").count()
@@ -54,25 +67,62 @@ def least_filled(df: DataFrame, bucket: str, themes: str, key: str, order: str,
     name, ``untagged`` without themes), unless that cell has ``cap`` rows; a key that was accepted is not taken again.
 
     Adds ``primary_theme`` and ``status`` (accepted, duplicate, cell_full). The counts of a bucket are independent of
-    others, so buckets run apart; a bucket is a rating range, and a task gets its ids and themes only.
+    others, so buckets run apart. A task streams its sorted rows, ids and themes only, and holds the counts and the
+    accepted keys of one bucket: at most ``cap`` for each theme.
     """
     kind = dict(df.dtypes)
 
-    def fill(pdf):
-        count: dict[str, int] = {}
-        taken, out = set(), []
-        for row in pdf.sort_values("__order").itertuples(index=False):
-            theme = min(row[2] if row[2] is not None and len(row[2]) else [UNTAGGED], key=lambda t: (count.get(t, 0), t))
-            if row[1] in taken:
-                out.append((row[0], row[1], row[3], None, "duplicate"))
-            elif count.get(theme, 0) >= cap:
-                out.append((row[0], row[1], row[3], None, "cell_full"))
-            else:
-                count[theme] = count.get(theme, 0) + 1
-                taken.add(row[1])
-                out.append((row[0], row[1], row[3], theme, "accepted"))
-        return type(pdf)(out, columns=[bucket, key, "__order", "primary_theme", "status"])
+    def fill(frames):
+        now, count, taken = object(), {}, set()
+        for pdf in frames:
+            given, status = [], []
+            for b, k, own in zip(pdf[bucket], pdf[key], pdf[themes]):
+                if b != now:
+                    now, count, taken = b, {}, set()
+                theme = min(own if own is not None and len(own) else [UNTAGGED], key=lambda t: (count.get(t, 0), t))
+                fate = "duplicate" if k in taken else "cell_full" if count.get(theme, 0) >= cap else "accepted"
+                if fate == "accepted":
+                    count[theme] = count.get(theme, 0) + 1
+                    taken.add(k)
+                given.append(theme if fate == "accepted" else None)
+                status.append(fate)
+            yield pdf[[bucket, key, "__order"]].assign(primary_theme=given, status=status)
 
     slim = df.select(bucket, key, themes, F.col(order).alias("__order"))
     schema = f"`{bucket}` {kind[bucket]}, `{key}` {kind[key]}, __order {kind[order]}, primary_theme string, status string"
-    return slim.groupBy(bucket).applyInPandas(fill, schema).withColumnRenamed("__order", order)
+    rows = slim.repartition(F.col(bucket)).sortWithinPartitions(bucket, "__order")
+    return rows.mapInPandas(fill, schema).withColumnRenamed("__order", order)
+
+
+def balanced_sample(puzzles: DataFrame, order: str, train: int, test: int, *, per_cell: int | None = None, max_scan: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """From prepared puzzles (puzzle_id, rating_bucket, themes, error, …): the sample with its ``primary_theme`` and
+    ``split``, and a tally (reason, n) of the rows that were passed over.
+
+    The first ``max_scan`` rows in ``order`` are looked at. Those with an error count under it; the others are assigned
+    to cells of at most ``per_cell`` rows (a hundredth of the sample, at least one), then split: test first.
+    """
+    if max_scan is not None:
+        puzzles = puzzles.orderBy(order).limit(max_scan)
+    scratch = Scratch(puzzles.sparkSession, "balanced")
+    rows = scratch.write(puzzles.drop("primary_theme"), "rows")
+    cap = max(1, (train + test) // 100) if per_cell is None else per_cell
+    filled = scratch.write(least_filled(rows.where("error IS NULL"), "rating_bucket", "themes", "puzzle_id", order, cap).select(order, "primary_theme", "status"), "filled")
+    sample = rows.join(filled.where("status = 'accepted'").drop("status"), order)
+    failed = rows.where("error IS NOT NULL").select(F.col("error").alias("reason"))
+    tally = failed.unionByName(filled.where("status <> 'accepted'").select(F.col("status").alias("reason"))).groupBy("reason").agg(F.count("*").alias("n"))
+    return test_then_train(sample, ["primary_theme", "rating_bucket"], "puzzle_id", test, train, seed=seed), tally
+
+
+def rating_form(rows: DataFrame, key: str, size: int = 100, *, answer: str = "answer", question: str = "question", seed: int = SEED) -> DataFrame:
+    """Rows for raters to fill in: sample_id, fen, question, answer and three empty columns. Of the rows with an answer
+    all, or ``size`` by a seeded hash of ``key``. ``sample_id`` is puzzle_id, else id, else the row's number; 0 and empty
+    ids count as none. Raises ValueError if no row has an answer."""
+    pool = rows.where(F.col(answer).isNotNull())
+    chosen = pool.withColumn("__h", _order(F.col(key), seed)).orderBy("__h", key).limit(size)
+    given = [F.when(~F.col(c).cast("string").isin("", "0"), F.col(c).cast("string")) for c in ("puzzle_id", "id") if c in rows.columns]
+    number = (F.row_number().over(Window.orderBy("__h", key)) - 1).cast("string")  # at most ``size`` rows
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
+    out = chosen.select(F.coalesce(*given, number).alias("sample_id"), text("fen").alias("fen"), text(question).alias("question"), F.col(answer).alias("answer"), *[F.lit("").alias(c) for c in ("naturalness", "terminology", "notes")])
+    if pool.isEmpty():
+        raise ValueError("no row has an answer to rate")
+    return out

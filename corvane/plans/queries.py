@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.chess.position import START
+from corvane.functions import engine
 from corvane.functions import text as T
-from corvane.operators import curate, evaluate, sampling
+from corvane.operators import curate, evaluate, prompts, sampling, translate, validate
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -125,8 +127,7 @@ def event_fields(spark, d):
 
 
 def term_fold(spark, d):
-    terms, variants = {"that": "zzz", "in the": "yyy", "on": "xxx"}, {"is": "on"}
-    text = T.enforce_terms(F.coalesce("text", F.lit("")), terms, variants)
+    text = T.enforce_terms(F.coalesce("text", F.lit("")), _TERMS, _VARIANTS)
     return _t(spark, d, "documents").select("doc_id", F.regexp_count(text, F.lit("zzz")).alias("zzz"), F.regexp_count(text, F.lit("yyy")).alias("yyy"))
 
 
@@ -143,6 +144,57 @@ def fen_material(spark, d):
     return _t(spark, d, "documents").select("doc_id", material(fen).alias("m")).select("doc_id", "m.white", "m.black")
 
 
+#: A few English words stand for terms where texts hold no chess.
+_TERMS, _VARIANTS = {"that": "zzz", "in the": "yyy", "on": "xxx"}, {"is": "on"}
+
+
+def record_validation(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.when(F.col("source").isNotNull() & (F.col("n_chars") % 3 > 0), F.lit(START)).alias("fen"), F.col("text").alias("question"), F.col("text").alias("answer"), F.lit(None).cast("string").alias("label"))
+    out = validate.validated(docs, terms=_TERMS, variants=_VARIANTS, known=F.col("fen").isNotNull())
+    return out.select("doc_id", F.array_join("reason", ",").alias("reasons"), F.md5(F.array_join("reason_detail", "|")).alias("digest"))
+
+
+def translated_texts(spark, d):
+    docs = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    out = translate.translated(docs, lambda t: F.concat(t, F.lit(" #")), ["text"], fen=None, terms={}, variants={})
+    return out.select("conv_id", "turn", F.md5("text").alias("digest"))
+
+
+def facts_prompts(spark, d):
+    """Prompts of facts that are made of a document's words."""
+    docs = _t(spark, d, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "").alias("w"), "n_chars", "lang")
+    pick = lambda rule: F.filter("w", rule)
+    hanging = F.transform(pick(lambda w: w.rlike("^[nbrqkpNBRQKP]")), lambda w: F.struct(F.lower(F.substring(w, 1, 2)).alias("square"), F.substring(w, 1, 1).alias("piece")))
+    facts = F.struct(
+        F.concat(F.lit("fen "), F.col("doc_id")).alias("fen"), F.when(F.col("doc_id") % 2 == 0, "white").otherwise("black").alias("side_to_move"), F.col("w").alias("legal_moves"), pick(lambda w: F.length(w) > 12).alias("checks_available"),
+        pick(lambda w: w.contains("x")).alias("captures_available"), F.col("n_chars").cast("int").alias("white"), (F.size("w") * 6).alias("black"), hanging.alias("hanging"), (F.col("doc_id") % 3 == 0).alias("in_check"),
+        (F.col("doc_id") % 5 == 0).alias("is_checkmate"), (F.col("doc_id") % 7 == 0).alias("is_stalemate"), F.size("w").alias("fullmove_number"),
+    )
+    text = prompts.facts_text(facts, opening=F.col("lang"), centipawns=(F.col("doc_id") % 200 - 100).cast("int"), mate=F.when(F.col("doc_id") % 11 == 0, F.col("doc_id") % 5 - 2).cast("int"))
+    return docs.select("doc_id", F.md5(prompts.prompt(text, F.lit("?"))).alias("digest"), F.md5(prompts.fallback(facts)).alias("fallback"))
+
+
+def balanced_order(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.col("source").alias("primary_theme"), F.when(F.col("n_chars") < 3000, sampling.rating_bucket(F.col("n_chars"), 1000)).alias("rating_bucket"))
+    return sampling.balanced_order(docs, "doc_id", 200).select("doc_id", "rn")
+
+
+def rating_forms(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("question"), F.when(F.col("n_chars") > 500, F.col("text")).alias("answer"))
+    return sampling.rating_form(docs, "id").select("sample_id", "question", F.md5("answer").alias("digest"))
+
+
+def rl_prompts(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("p"), F.col("doc_id"))).alias("fen"), F.when(F.col("doc_id") % 3 > 0, F.array("source")).otherwise(F.array().cast("array<string>")).alias("solution"), F.col("source").alias("primary_theme"), F.col("lang").alias("rating_bucket"))
+    return curate.rl_rows(docs, "doc_id", "S", prompts.PUZZLE_USER, limit=300).select("fen", F.md5(F.col("prompt")[1]["content"]).alias("digest"), "primary_theme", "rating_bucket")
+
+
+def engine_levels(spark, d):
+    e = F.col("user_id") % 2000 + 700
+    rows = _t(spark, d, "events").select(e.alias("elo")).distinct()
+    return rows.select("elo", engine.route_engine(F.col("elo")).alias("engine"), engine.skill_for_elo(F.col("elo")).alias("skill"), engine.depth_for_elo(F.col("elo")).alias("depth"), engine.clamp_elo(F.col("elo")).cast("long").alias("clamped"), engine.weak_settings(F.col("elo"))["skill"].alias("weak_skill"))
+
+
 def placed_by(row):
     """A position with a piece on each rank, by hashes of an id; black is to move and does not attack the white king."""
 
@@ -164,6 +216,7 @@ def chess_facts(spark, d):
 QUERIES = {f.__name__: f for f in (
     curation_report, english_runs, distinct_transform, price_distribution, round_robin, test_train_split, split_leaks, least_filled, accuracy_slices, claims_report, rater_kappa, rater_agreement,
     length_ranks, chat_history, chat_examples, first_fine_answer, shared_with_benchmark, event_fields, term_fold, translation_gate, fen_material, chess_facts,
+    record_validation, translated_texts, facts_prompts, balanced_order, rating_forms, rl_prompts, engine_levels,
 )}
 FLAGSHIP = "curation_report"
 
@@ -172,6 +225,29 @@ _SPLIT = f"""
 a AS (SELECT doc_id, source, lang, {_RR} FROM documents), te AS (SELECT doc_id FROM a ORDER BY rn, source, lang LIMIT 100),
 b AS (SELECT doc_id, source, lang, {_RR} FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM te)), tr AS (SELECT doc_id FROM b ORDER BY rn, source, lang LIMIT 300)
 """
+#: Java's Unicode word characters, for boundaries that take a character; where matches share one, a second pass finds the rest.
+_W = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+
+
+def _fold(text: str) -> str:
+    rules = [("is", "xxx"), *sorted(_TERMS.items(), key=lambda kv: (-len(kv[0]), kv[0]))]
+    for term, wording in rules:
+        pattern = rf"(?i)(^|[^{_W}])" + term.replace(" ", r"\s+") + rf"($|[^{_W}])"
+        for _ in range(2):
+            text = f"regexp_replace({text}, '{pattern}', '\\1{wording}\\2', 'g')"
+    return text
+
+
+def _english(name: str, rows: str) -> str:
+    """Longest English runs (doc_id, run) of ``rows`` (doc_id, text)."""
+    return f"""{name}_t AS (SELECT doc_id, w, i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-zÀ-ỹ]+') AS ws FROM {rows}) x, unnest(ws) WITH ORDINALITY AS u(w, i)),
+        {name}_i AS (SELECT doc_id, w, regexp_matches(w, '[{T.VIETNAMESE}]') AS f, sum(CASE WHEN regexp_matches(w, '[{T.VIETNAMESE}]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM {name}_t),
+        {name}_r AS (SELECT doc_id, g, count(*) AS n, sum(CASE WHEN lower(w) IN ({_STOPS}) THEN 1 ELSE 0 END) AS s FROM {name}_i WHERE NOT f GROUP BY doc_id, g),
+        {name} AS (SELECT doc_id, max(CASE WHEN s >= 2 THEN n ELSE 0 END)::INT AS run FROM {name}_r GROUP BY doc_id)"""
+
+
+_MOVES = "CASE WHEN len({0}) = 0 THEN 'không có' WHEN len({0}) > {1} THEN array_to_string({0}[1:{1}], ', ') || ', ... (tổng ' || len({0}) || ')' ELSE array_to_string({0}, ', ') END"
+_PIECES = "CASE lower(left(x, 1)) WHEN 'p' THEN 'tốt' WHEN 'n' THEN 'mã' WHEN 'b' THEN 'tượng' WHEN 'r' THEN 'xe' WHEN 'q' THEN 'hậu' ELSE 'vua' END || ' ' || CASE WHEN left(x, 1) = upper(left(x, 1)) THEN 'Trắng' ELSE 'Đen' END || ' ở ' || lower(left(x, 2))"
 _BUCKET = "(floor({0} / {1}) * {1})::BIGINT"
 ORACLE_SQL = {
     "curation_report": f"""WITH {_RUNS}, r AS (SELECT d.doc_id, list_filter([CASE WHEN length(coalesce(text, '')) < 500 THEN 'short' END, CASE WHEN regexp_matches(coalesce(text, ''), '[A-Za-z0-9]{{32}}') THEN 'secret' END,
@@ -207,5 +283,48 @@ ORACLE_SQL = {
     "first_fine_answer": "SELECT conv_id, md5(coalesce(arg_min(text, turn) FILTER (WHERE turn < 3 AND length(text) > 200), 'none')) AS digest FROM conversations WHERE text IS NOT NULL GROUP BY conv_id",
     "shared_with_benchmark": "WITH d AS (SELECT doc_id, unnest(list_distinct(string_split(coalesce(text, ''), chr(10)))) AS line FROM documents), b AS (SELECT DISTINCT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM benchmark) SELECT doc_id, count(*) AS lines FROM d JOIN b USING (line) WHERE length(line) >= 20 GROUP BY doc_id",
     "event_fields": "WITH e AS (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events) SELECT event_type, key, count(*) AS n, count(DISTINCT json_extract_string(props, '$.\"' || key || '\"')) AS n_values FROM e GROUP BY event_type, key",
+    "term_fold": f"WITH f AS (SELECT doc_id, {_fold("coalesce(text, '')")} AS t FROM documents) SELECT doc_id, len(regexp_extract_all(t, 'zzz'))::INT AS zzz, len(regexp_extract_all(t, 'yyy'))::INT AS yyy FROM f",
+    "translation_gate": rf"""WITH a AS (SELECT doc_id, coalesce(text, '') AS src FROM documents),
+        o AS (SELECT doc_id, src, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(src, '(?i)(^|[^a-z])the($|[^a-z])', '\1những\2', 'g'), '(?i)(^|[^a-z])the($|[^a-z])', '\1những\2', 'g'), '(?is)<think>.*?</think>', '', 'g'), '^\s+|\s+$', '', 'g')) AS one,
+              regexp_replace(regexp_replace(src, '(?is)<think>.*?</think>', '', 'g'), '^\s+|\s+$', '', 'g') AS two FROM a),
+        x1 AS (SELECT doc_id, one AS text FROM o), x2 AS (SELECT doc_id, two AS text FROM o), {_english("e1", "x1")}, {_english("e2", "x2")},
+        g AS (SELECT o.*, coalesce(e1.run, 0) AS r1, coalesce(e2.run, 0) AS r2, regexp_extract_all(src, '<[MFN][0-9]+>') AS ps,
+              len(regexp_extract_all(src, '(?i)\bwhite\b')) AS nw, len(regexp_extract_all(src, '(?i)\bblack\b')) AS nb FROM o LEFT JOIN e1 USING (doc_id) LEFT JOIN e2 USING (doc_id)),
+        f AS (SELECT doc_id, {", ".join(f"CASE WHEN ps <> regexp_extract_all({c}, '<[MFN][0-9]+>') THEN 'placeholder' WHEN src = {c} OR {r} >= 8 THEN 'untranslated' WHEN length(src) >= 200 AND length({c}) / length(src) < 0.7 THEN 'truncated' WHEN (nw >= 2 AND NOT contains(lower({c}), 'trắng')) OR (nb >= 2 AND NOT contains(lower({c}), 'đen')) THEN 'colours' END AS {k}" for c, r, k in (("one", "r1", "f1"), ("two", "r2", "f2")))} FROM g)
+        SELECT CASE WHEN f1 IS NULL THEN 'kept' ELSE coalesce(f2, 'kept') END AS fault, count(*) AS n FROM f GROUP BY 1""",
+    "least_filled": f"""WITH RECURSIVE r AS (SELECT doc_id, {_BUCKET.format('n_chars', 1000)}::VARCHAR || '-' || ({_BUCKET.format('n_chars', 1000)} + 999)::VARCHAR AS bucket, list_sort([lang, source], 'ASC', 'NULLS LAST') AS themes, row_number() OVER (PARTITION BY {_BUCKET.format('n_chars', 1000)} ORDER BY doc_id) AS k FROM documents),
+        s AS (SELECT bucket, 0::BIGINT AS k, MAP {{'': 0}} AS c, NULL::BIGINT AS doc_id, NULL::VARCHAR AS theme, false AS ok FROM (SELECT DISTINCT bucket FROM r)
+              UNION ALL SELECT bucket, k, CASE WHEN b.n < 5 THEN map_concat(c, MAP {{b.t: b.n + 1}}) ELSE c END, doc_id, b.t, b.n < 5
+              FROM (SELECT r.bucket, r.k, s.c, r.doc_id, list_sort(list_transform(r.themes, lambda t: {{'n': coalesce(s.c[t], 0), 't': t}}))[1] AS b FROM s JOIN r ON r.bucket = s.bucket AND r.k = s.k + 1))
+        SELECT doc_id, bucket, CASE WHEN ok THEN theme END AS primary_theme, CASE WHEN ok THEN 'accepted' ELSE 'cell_full' END AS status FROM s WHERE k > 0""",
+    "record_validation": rf"""WITH {_RUNS}, d AS (SELECT doc_id, source IS NOT NULL AND n_chars % 3 > 0 AS ok, coalesce(text, '') AS t FROM documents),
+        p AS (SELECT d.*, coalesce(run, 0) AS run, list_sort(list_distinct(regexp_extract_all(t, '<[MFN][0-9]+>'))) AS ph,
+              list_concat({", ".join(rf"list_transform(regexp_extract_all(regexp_replace(t, '([^{_W}])', '\1\1', 'g'), '(?i)(?:^|[^{_W}])({term.replace(' ', r'\s+')})(?:$|[^{_W}])', 1), lambda x: regexp_replace(x, '(\s)\s', '\1', 'g') || ' -> {want}')" for term, want in (("in the", "yyy"), ("on", "xxx"), ("that", "zzz"), ("is", "xxx")))}) AS v FROM d LEFT JOIN best USING (doc_id)),
+        w AS (SELECT doc_id, ok, list_filter([CASE WHEN len(ph) > 0 THEN {{'r': 'leftover_placeholder', 'd': 'left: ' || array_to_string(ph, ', ')}} END, CASE WHEN run >= 8 THEN {{'r': 'english_chunk', 'd': 'run of ' || run || ' words'}} END,
+              CASE WHEN len(v) > 0 THEN {{'r': 'glossary', 'd': array_to_string(list_sort(list_distinct(v)), ', ')}} END], lambda x: x IS NOT NULL) AS g FROM p)
+        SELECT doc_id, CASE WHEN ok THEN array_to_string(list_transform(g, lambda x: x.r), ',') ELSE 'missing_fen' END AS reasons, md5(CASE WHEN ok THEN array_to_string(list_transform(g, lambda x: x.d), '|') ELSE 'position: none' END) AS digest FROM w""",
+    "translated_texts": "SELECT conv_id, turn, md5(text || ' #') AS digest FROM conversations",
+    "facts_prompts": rf"""WITH d AS (SELECT doc_id, n_chars, lang, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	
+
+]+'), lambda w: w <> '') AS w FROM documents),
+        f AS (SELECT *, list_filter(w, lambda x: contains(x, 'x')) AS cap, list_filter(w, lambda x: length(x) > 12) AS chk, list_filter(w, lambda x: regexp_matches(x, '^[nbrqkpNBRQKP]')) AS hang, len(w) AS n, len(w) * 6 AS b,
+              CASE WHEN doc_id % 2 = 0 THEN 'Trắng' ELSE 'Đen' END AS side, CASE WHEN doc_id % 3 = 0 THEN 'có' ELSE 'không' END AS chk_now, doc_id % 200 - 100 AS cp, CASE WHEN doc_id % 11 = 0 THEN doc_id % 5 - 2 END AS mate FROM d),
+        t AS (SELECT doc_id, concat_ws(chr(10), '{prompts.FACTS_HEAD}', 'FEN: fen ' || doc_id, 'Lượt đi: ' || side || ' (nước thứ ' || n || ')',
+              'Cán cân lực lượng: Trắng ' || n_chars || ' - Đen ' || b || ' (' || CASE WHEN n_chars = b THEN 'cân bằng' ELSE CASE WHEN n_chars > b THEN 'Trắng' ELSE 'Đen' END || ' hơn ' || abs(n_chars - b) || ' điểm quân' END || ')',
+              'Đang bị chiếu: ' || chk_now, 'Quân bỏ ngỏ: ' || CASE WHEN len(hang) = 0 THEN 'không có' ELSE array_to_string(list_transform(hang, lambda x: {_PIECES}), ', ') END,
+              'Nước ăn quân khả dụng: ' || {_MOVES.format("cap", 12)}, 'Nước chiếu khả dụng: ' || {_MOVES.format("chk", 12)}, 'Nước đi hợp lệ: ' || {_MOVES.format("w", 20)}, 'Khai cuộc: ' || nullif(lang, ''),
+              'Đánh giá của Stockfish: ' || CASE WHEN mate = 0 THEN side || ' đã bị chiếu hết' WHEN mate > 0 THEN side || ' có chiếu hết sau ' || mate || ' nước' WHEN mate < 0 THEN side || ' bị chiếu hết sau ' || abs(mate) || ' nước'
+                ELSE printf('%+.2f', cp / 100.0) || ' tốt theo góc nhìn ' || side || ' (' || CASE WHEN abs(cp) < 30 THEN 'thế cân bằng' WHEN cp > 0 THEN side || ' đang ưu thế' ELSE side || ' đang bất lợi' END || ')' END,
+              CASE WHEN doc_id % 5 = 0 THEN 'Ván đã kết thúc: ' || side || ' bị chiếu hết.' WHEN doc_id % 7 = 0 THEN 'Ván đã kết thúc: hết nước đi (hòa).' END) AS facts,
+              concat_ws(chr(10), '{prompts.SORRY}', '- Lượt đi: ' || side || '.', '- Cán cân lực lượng: Trắng ' || n_chars || ' - Đen ' || b || '.', '- Đang bị chiếu: ' || chk_now || '.',
+              CASE WHEN len(hang) > 0 THEN '- Quân bỏ ngỏ: ' || array_to_string(list_transform(hang, lambda x: left(x, 1) || ' ở ' || lower(left(x, 2))), ', ') || '.' END, CASE WHEN len(chk) > 0 THEN '- Nước chiếu khả dụng: ' || array_to_string(chk, ', ') || '.' END) AS back FROM f)
+        SELECT doc_id, md5('{prompts.SYSTEM}' || chr(10) || chr(10) || facts || chr(10) || chr(10) || '{prompts.QUESTION}' || chr(10) || '?' || chr(10) || chr(10) || '{prompts.ANSWER}') AS digest, md5(back) AS fallback FROM t""",
+    "balanced_order": f"""WITH c AS (SELECT doc_id, coalesce(nullif(source, ''), 'untagged') AS a, CASE WHEN n_chars < 3000 THEN {_BUCKET.format('n_chars', 1000)}::VARCHAR || '-' || ({_BUCKET.format('n_chars', 1000)} + 999)::VARCHAR ELSE '?' END AS b FROM documents),
+        r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY md5('20240911:' || doc_id::VARCHAR), doc_id) AS rn FROM c) SELECT doc_id, rn::INT AS rn FROM r ORDER BY rn, a, b LIMIT 200""",
+    "rating_forms": """WITH r AS (SELECT *, row_number() OVER (ORDER BY md5('20240911:' || doc_id::VARCHAR), doc_id) AS rn FROM documents WHERE n_chars > 500 AND text IS NOT NULL)
+        SELECT CASE WHEN doc_id = 0 THEN (rn - 1)::VARCHAR ELSE doc_id::VARCHAR END AS sample_id, lang AS question, md5(text) AS digest FROM r WHERE rn <= 100""",
+    "rl_prompts": """WITH c AS (SELECT *, coalesce(nullif(source, ''), 'untagged') AS a, coalesce(nullif(lang, ''), '?') AS b FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY md5('20240911:' || doc_id::VARCHAR), doc_id) AS rn FROM c),
+        l AS (SELECT * FROM r ORDER BY rn, a, b LIMIT 300) SELECT 'p' || doc_id AS fen, md5('FEN: p' || doc_id || chr(10) || 'Bên đang đi cần tìm nước mạnh nhất. Nước đi nào?') AS digest, coalesce(source, '') AS primary_theme, coalesce(lang, '') AS rating_bucket FROM l WHERE doc_id % 4 > 0 AND doc_id % 3 > 0""",
+    "engine_levels": "WITH e AS (SELECT DISTINCT user_id % 2000 + 700 AS elo FROM events), u AS (SELECT elo, (greatest(2200, least(2600, elo)) - 2200) / 400.0::DOUBLE AS s, (greatest(800, least(2200, elo)) - 800) / 1400.0::DOUBLE AS w FROM e) SELECT elo, CASE WHEN elo <= 2200 THEN 'maia' ELSE 'stockfish' END AS engine, round_even(10 + s * 10, 0)::INT AS skill, round_even(8 + s * 10, 0)::INT AS depth, greatest(800, least(2600, elo))::BIGINT AS clamped, round_even(w * 10, 0)::INT AS weak_skill FROM u",
     "fen_material": "WITH f AS (SELECT doc_id, substr(regexp_replace(coalesce(text, ''), '[^rnbqkpRNBQKP]', '', 'g'), 1, 64) AS b FROM documents) SELECT doc_id, " + ", ".join("(" + " + ".join(f"{v} * (length(b) - length(replace(b, '{p}', '')))" for p, v in zip(s, (1, 3, 3, 5, 9))) + f")::INT AS {n}" for s, n in (("PNBRQ", "white"), ("pnbrq", "black"))) + " FROM f",
 }

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import os
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +58,35 @@ def read_ratings(spark: SparkSession, paths: list[str], axes: list[str]) -> Data
     return out
 
 
+def read_rows(spark: SparkSession, path: str | None = None, *, table: str | None = None, schema: T.StructType | str | None = None, split: str | None = None, splits: tuple[str, ...] = ("train",)) -> DataFrame:
+    """Rows of a file or folder if one is given, else of a catalog table. A split that the source does not have raises
+    ValueError, as does a call without a source."""
+    if split is not None and split not in splits:
+        raise ValueError(f"no split {split!r}; there are {', '.join(splits)}")
+    if path is not None:
+        return read_records(spark, path, schema)
+    if table is None:
+        raise ValueError("give a path or a table")
+    return spark.read.table(table)
+
+
+def parse_env(text: str) -> dict[str, str]:
+    """KEY=VALUE lines: blank lines, comments and lines without a key are passed over, ``export`` before a key and a pair
+    of quotes around a value are left out."""
+    found = re.finditer(r"^[^\S\n]*(?!#)(?:export\s+)?([^=\s#][^=\n]*?)[^\S\n]*=[^\S\n]*(.*?)[^\S\n]*$", text, re.M)
+    return {m[1]: m[2][1:-1] if len(m[2]) > 1 and m[2][0] == m[2][-1] and m[2][0] in "\"'" else m[2] for m in found}
+
+
+def load_env(path: str, *, override: bool = False) -> int:
+    """Sets the variables of a file on the driver that are not set, or all with ``override``; how many were set."""
+    if not os.path.isfile(path):
+        return 0
+    with open(path, encoding="utf-8") as f:
+        new = {k: v for k, v in parse_env(f.read()).items() if override or k not in os.environ}
+    os.environ.update(new)
+    return len(new)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -68,3 +102,21 @@ def write_clean(df: DataFrame, path: str) -> bool:
 def write_report(df: DataFrame, path: str) -> None:
     """A small report as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_form(df: DataFrame, path: str) -> int:
+    """A small form as one CSV file with a byte order mark, so that spreadsheets read it as UTF-8; the number of rows."""
+    rows, out = df.collect(), io.StringIO()  # bounded by the form's size
+    writer = csv.writer(out)
+    writer.writerows([df.columns, *map(tuple, rows)])
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).create(p, True)
+    stream.write(bytearray(b"\xef\xbb\xbf" + out.getvalue().encode()))
+    stream.close()
+    return len(rows)
+
+
+def preview(before: DataFrame, after: DataFrame, key: str, fields: list[str], n: int = 5) -> str:
+    """The first ``n`` records by key, each field before and after, as text."""
+    both = before.select(key, *[F.col(f).alias(f"{f}_before") for f in fields]).orderBy(key).limit(n).join(after.select(key, *fields), key).orderBy(key).collect()
+    return "\n\n".join("\n".join([f"{key}: {r[key]}", *[f"  {f}: {r[f + '_before']}\n  -> {r[f]}" for f in fields]]) for r in both)
