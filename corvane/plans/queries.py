@@ -89,7 +89,7 @@ def rater_kappa(spark, d):
 
 
 def rater_agreement(spark, d):
-    e = _t(spark, d, "events").select(F.col("event_type").alias("axis"), (F.col("event_id") % 3).cast("string").alias("rater"), (F.col("user_id") % 40).cast("string").alias("sample_id"), (F.col("event_id") % 5 + 1).cast("int").alias("score"), "event_id")
+    e = _t(spark, d, "events").select(F.col("event_type").alias("axis"), (F.col("event_id") % 3).cast("string").alias("rater"), F.col("user_id").cast("string").alias("sample_id"), (F.col("event_id") % 5 + 1).cast("int").alias("score"), "event_id")
     e = e.groupBy("axis", "rater", "sample_id").agg(F.max_by("score", "event_id").alias("score"))
     return evaluate.agreement(e, 3).withColumn("value", F.round("value", 6))
 
@@ -140,7 +140,7 @@ def translation_gate(spark, d):
 def fen_material(spark, d):
     from corvane.operators.positions import material
 
-    fen = F.concat(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^rnbqkpRNBQKP]", ""), 1, 64), F.lit(" w"))
+    fen = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[^rnbqkpRNBQKP]", ""), F.lit(" w"))
     return _t(spark, d, "documents").select("doc_id", material(fen).alias("m")).select("doc_id", "m.white", "m.black")
 
 
@@ -270,7 +270,7 @@ ORACLE_SQL = {
     "rater_kappa": """WITH e AS (SELECT event_type, floor(least(abs(value), 499) / 100 + 1)::INT AS a, (user_id % 5 + 1)::INT AS b FROM events)
         SELECT event_type, round(CASE WHEN sum(a*a) + sum(b*b) - 2.0 * sum(a) * sum(b) / count(*) = 0 THEN 1.0 ELSE 1 - sum((a-b)*(a-b))::DOUBLE / (sum(a*a) + sum(b*b) - 2.0::DOUBLE * sum(a) * sum(b) / count(*)) END, 6) AS kappa,
         round(avg((abs(a - b) <= 1)::INT), 6) AS within_one FROM e GROUP BY event_type""",
-    "rater_agreement": """WITH e AS (SELECT event_type AS axis, (event_id % 3)::VARCHAR AS rater, (user_id % 40)::VARCHAR AS sample_id, arg_max((event_id % 5 + 1)::INT, event_id) AS score FROM events GROUP BY 1, 2, 3),
+    "rater_agreement": """WITH e AS (SELECT event_type AS axis, (event_id % 3)::VARCHAR AS rater, user_id::VARCHAR AS sample_id, arg_max((event_id % 5 + 1)::INT, event_id) AS score FROM events GROUP BY 1, 2, 3),
         k AS (SELECT axis, sample_id FROM e GROUP BY 1, 2 HAVING count(DISTINCT rater) = 3), c AS (SELECT e.* FROM e JOIN k USING (axis, sample_id)),
         p AS (SELECT a.axis, a.rater, b.rater AS r2, count(*) AS n, avg((abs(a.score - b.score) <= 1)::INT) AS w,
               CASE WHEN sum(a.score*a.score) + sum(b.score*b.score) - 2.0::DOUBLE * sum(a.score) * sum(b.score) / count(*) = 0 THEN 1.0 ELSE 1 - sum((a.score-b.score)*(a.score-b.score))::DOUBLE / (sum(a.score*a.score) + sum(b.score*b.score) - 2.0::DOUBLE * sum(a.score) * sum(b.score) / count(*)) END AS q
@@ -326,5 +326,5 @@ ORACLE_SQL = {
     "rl_prompts": """WITH c AS (SELECT *, coalesce(nullif(source, ''), 'untagged') AS a, coalesce(nullif(lang, ''), '?') AS b FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY md5('20240911:' || doc_id::VARCHAR), doc_id) AS rn FROM c),
         l AS (SELECT * FROM r ORDER BY rn, a, b LIMIT 300) SELECT 'p' || doc_id AS fen, md5('FEN: p' || doc_id || chr(10) || 'Bên đang đi cần tìm nước mạnh nhất. Nước đi nào?') AS digest, coalesce(source, '') AS primary_theme, coalesce(lang, '') AS rating_bucket FROM l WHERE doc_id % 4 > 0 AND doc_id % 3 > 0""",
     "engine_levels": "WITH e AS (SELECT DISTINCT user_id % 2000 + 700 AS elo FROM events), u AS (SELECT elo, (greatest(2200, least(2600, elo)) - 2200) / 400.0::DOUBLE AS s, (greatest(800, least(2200, elo)) - 800) / 1400.0::DOUBLE AS w FROM e) SELECT elo, CASE WHEN elo <= 2200 THEN 'maia' ELSE 'stockfish' END AS engine, round_even(10 + s * 10, 0)::INT AS skill, round_even(8 + s * 10, 0)::INT AS depth, greatest(800, least(2600, elo))::BIGINT AS clamped, round_even(w * 10, 0)::INT AS weak_skill FROM u",
-    "fen_material": "WITH f AS (SELECT doc_id, substr(regexp_replace(coalesce(text, ''), '[^rnbqkpRNBQKP]', '', 'g'), 1, 64) AS b FROM documents) SELECT doc_id, " + ", ".join("(" + " + ".join(f"{v} * (length(b) - length(replace(b, '{p}', '')))" for p, v in zip(s, (1, 3, 3, 5, 9))) + f")::INT AS {n}" for s, n in (("PNBRQ", "white"), ("pnbrq", "black"))) + " FROM f",
+    "fen_material": "WITH f AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^rnbqkpRNBQKP]', '', 'g') AS b FROM documents) SELECT doc_id, " + ", ".join("(" + " + ".join(f"{v} * (length(b) - length(replace(b, '{p}', '')))" for p, v in zip(s, (1, 3, 3, 5, 9))) + f")::INT AS {n}" for s, n in (("PNBRQ", "white"), ("pnbrq", "black"))) + " FROM f",
 }
