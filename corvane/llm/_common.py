@@ -2,61 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word contracts: U+0020 and U+0009 to U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="corvane-")
-    return _own_dir[app]
+from corvane.sources.scratch import Scratch, shared_dir
 
+__all__ = ["WORD", "Scratch", "apart", "few", "parts", "shared_dir", "table", "text_col"]
 
-class Scratch:
-    """Tables written once to the shared folder, so that a lost executor costs no recomputation of their lineage.
-
-    They go when the application ends; ``drop`` removes one that no later plan reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._fs().deleteOnExit(self._path(self.base))
-
-    def _path(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _fs(self):
-        return self._path(self.base).getFileSystem(self.spark._jsc.hadoopConfiguration())
+#: White space of the word contracts: U+0020 and U+0009 to U+000D.
+WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a small side that is broadcast at most.
+FEW = 100_000
 
-    def path(self, name: str) -> str:
-        return f"{self.base}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.read(name, df)
+def apart(df: DataFrame, *names: str) -> tuple[DataFrame, list, list[str]]:
+    """``df`` with columns c0, c1, …, which no name of an operator's own clashes with; the columns that give the old
+    names back; and the new names of ``names``."""
+    new = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*new.values()), [F.col(n).alias(c) for c, n in new.items()], [new[n] for n in names]
 
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name))
 
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._fs().delete(self._path(self.path(name)), True)
+def few(rows: list | int, df: DataFrame) -> DataFrame:
+    """``df``, broadcast if it has at most ``FEW`` rows; given the rows it was made of, or their number."""
+    return F.broadcast(df) if (rows if isinstance(rows, int) else len(rows)) <= FEW else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
