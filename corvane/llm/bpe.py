@@ -10,8 +10,12 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: A space between white space, or at the end after white space: there the run of white space is one word.
@@ -19,6 +23,11 @@ _RUN = re.compile(r" (?=\s|\Z)(?<=\s )")
 _WIDE = re.compile(r"(?<=\S) (?=\S)")
 #: The word pattern of the byte-level BPE vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: ``_RUN`` for Arrow's expressions, whose classes of white space know ASCII only.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_RUN_ARROW = rf"{_SPACE} (?:{_SPACE}|\z)"
+#: Text that is cut at once, in bytes, and distinct pieces that a worker keeps.
+SLICE, KEPT = 48 << 20, 1_000_000
 
 
 def pieces(text: str) -> list[str]:
@@ -48,6 +57,64 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+def specification(path: str) -> dict:
+    """A vocabulary file, if it is one of byte-level BPE that cuts texts by ``PATTERN``; else raises ValueError."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut = spec.get("pre_tokenizer") or {}
+    if spec["model"].get("type", "BPE") != "BPE" or spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        raise ValueError(f"not a byte-level BPE vocabulary without normalizer: {path}")
+    return spec
+
+
+class Cut:
+    """Cuts a batch of texts into pieces in native code and hands out a row number for each distinct piece.
+
+    ``odd`` tells texts that hold a special string or a run of white space; they have one piece, the empty one, and the
+    caller works them out alone. ``learn(pieces, inner)`` is called with pieces that have no row yet; ``inner`` ones
+    have a space before them. After ``KEPT`` pieces the table starts afresh (``clear``).
+    """
+
+    def __init__(self, specials: list[str], learn: Callable[[list[str], bool], None], clear: Callable[[], None]):
+        self.unfit = "|".join([_RUN_ARROW, *map(re.escape, specials)])
+        self.learn, self.clear = learn, clear
+        self.rows: tuple[dict[str, int], dict[str, int]] = ({}, {})
+
+    def numbers(self, pieces: list[str], inner: bool) -> np.ndarray:
+        rows = self.rows[inner]
+        new = [p for p in pieces if p not in rows]
+        if inner and rows and sum(map(len, self.rows)) + len(new) > KEPT:
+            self.rows[0].clear()
+            self.rows[1].clear()
+            self.clear()
+            new = pieces
+        if new:
+            held = sum(map(len, self.rows))
+            self.learn(new, inner)
+            rows.update(zip(new, range(held, held + len(new))))
+        return np.fromiter(map(rows.__getitem__, pieces), np.int64, len(pieces))
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of slices of the texts (without null): the slice, which are odd, the row of each piece, and the number of
+        pieces before each text and in all."""
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = [0, *np.flatnonzero(np.diff(size // SLICE, prepend=0)).tolist(), len(texts)]
+        for a, b in zip(ends, ends[1:]):
+            if a == b:
+                continue
+            part = texts.slice(a, b - a)
+            odd = pc.match_substring_regex(part, self.unfit)
+            cut = pc.split_pattern(pc.if_else(odd, "", part), " ")
+            own = cut.flatten().dictionary_encode()
+            offsets = cut.offsets.to_numpy().astype(np.int64)
+            pieces = own.dictionary.to_pylist()
+            rows = self.numbers(pieces, True)[own.indices.to_numpy()]
+            heads = [pieces[i] for i in own.indices.to_numpy()[offsets[:-1]].tolist()]
+            of_heads = self.numbers(list(dict.fromkeys(heads)), False)  # learns them
+            rows[offsets[:-1]] = of_heads if len(of_heads) == len(heads) else np.fromiter(map(self.rows[False].__getitem__, heads), np.int64, len(heads))
+            yield part, odd.to_numpy(zero_copy_only=False), rows, offsets
+
+
 class MergeCounter:
     """Token counts of a byte-level BPE vocabulary file, without token ids.
 
@@ -57,8 +124,7 @@ class MergeCounter:
     """
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = specification(path)
         self.alphabet = byte_alphabet()
         number = {c: b for b, c in self.alphabet.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -74,6 +140,25 @@ class MergeCounter:
         self.pattern = regex.compile(PATTERN)
         self.words = Memo(self.word, 400_000)
         self.pieces = Memo(self.piece, 400_000)
+        self.clear()
+        self.cut = Cut(special, self.learn, self.clear)
+
+    def clear(self):
+        self.table = np.zeros(0, np.int64)
+
+    def learn(self, pieces: list[str], inner: bool) -> None:
+        counts = [self.piece(p) if inner else self.plain(p) for p in pieces]
+        self.table = np.concatenate([self.table, np.array(counts, np.int64)])
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Of a batch of texts without null; each distinct piece is merged once while it is kept."""
+        out = [np.zeros(0, np.int64)]
+        for part, odd, rows, offsets in self.cut(texts):
+            own = np.add.reduceat(self.table[rows], offsets[:-1])
+            for i in np.flatnonzero(odd).tolist():
+                own[i] = self.count(part[i].as_py())
+            out.append(own)
+        return np.concatenate(out)
 
     def word(self, word: str) -> int:
         symbols = list(word.encode())

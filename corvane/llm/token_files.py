@@ -13,55 +13,96 @@ Spark writes both tables, so a task that is run again leaves no partial file beh
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.llm._common import Scratch, parts, table, text_col
-from corvane.llm.bpe import PATTERN, Memo, byte_alphabet, pieces
+from corvane.llm.bpe import PATTERN, Cut, Memo, byte_alphabet, specification
 
 END, LIMIT, STEP, BLOCK = 0, 20, 256, 1 << 16
 _BLOCKS = "part int, block int, n_tokens long, docs array<long>, lengths array<long>, payload binary, checkpoints array<long>"
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, each distinct word encoded once while it is kept."""
+    """Ids of whole texts by the tokenizers library, each distinct piece of them encoded once while it is kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
+        specification(path)
         self.library = Tokenizer.from_file(path)
-        self.model, self.alphabet = self.library.model, byte_alphabet()
-        self.pattern = regex.compile(PATTERN)
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words, self.pieces = Memo(self.word, 400_000), Memo(self.piece, 400_000)
+        self.model = self.library.model
+        self.alphabet = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
+        self.find = regex.compile(PATTERN).findall
+        self.words, self.marks = Memo(self.word, 200_000), Memo(self.word, 10_000)
         self.size = self.library.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.clear()
+        self.cut = Cut([t.content for t in self.library.get_added_tokens_decoder().values()], self.learn, self.clear)
+
+    def clear(self):
+        """Row i of the table: ``sizes[i]`` ids from ``starts[i]`` on."""
+        self.flat, self.starts, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def word(self, word: str) -> bytes:
-        return self.packed([t.id for t in self.model.tokenize("".join([self.alphabet[b] for b in word.encode()]))])
-
-    def piece(self, piece: str) -> bytes:
-        """Of a piece with a space before it."""
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(" " + piece)))
+    def word(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+
+    def learn(self, pieces: list[str], inner: bool) -> None:
+        """Most pieces are letters, or letters and ASCII marks behind them; the others are cut by the word pattern."""
+        lead, tokenize, words, find, alphabet, marks = " " if inner else "", self.model.tokenize, self.words, self.find, self.alphabet, self.marks
+        ids: list[int] = []
+        ends: list[int] = []
+        for p in pieces:
+            core = p.rstrip(string.punctuation)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0530"):
+                ids += [t.id for t in tokenize((lead + core).encode().decode("latin-1").translate(alphabet))]
+                if len(core) < len(p):
+                    ids += marks[p[len(core) :]]
+            else:
+                for w in find(lead + p):
+                    ids += words[w]
+            ends.append(len(ids))
+        sizes = np.diff(np.array(ends, np.int64), prepend=0)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, np.array(ids, self.kind)])
+
+    def encode(self, texts: pa.Array, end: int, docs: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of texts without null, each followed by ``end``, and the number of ids before each text and in all;
+        for ``docs`` texts at a time."""
+        for part, odd, rows, offsets in self.cut(texts):
+            for a in range(0, len(part), docs):
+                b = min(a + docs, len(part))
+                own, upto = rows[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                extra = [self.packed(self.library.encode(part[i].as_py(), add_special_tokens=False).ids) for i in (a + np.flatnonzero(odd[a:b])).tolist()]
+                flat = np.concatenate([self.flat, np.frombuffer(b"".join([*extra, self.packed([end])]), self.kind)])
+                sizes = np.array([len(x) // self.kind.itemsize for x in extra] + [1], np.int64)
+                starts = np.concatenate([self.starts, len(flat) - sizes.sum() + np.cumsum(sizes) - sizes])
+                own[upto[:-1][odd[a:b]]] = len(self.starts) + np.arange(len(extra))
+                own = np.insert(own, upto[1:], len(starts) - 1)
+                n = np.concatenate([self.sizes, sizes])[own]
+                ends = np.cumsum(n)
+                at = np.repeat(starts[own] - ends + n, n)
+                at += np.arange(len(at))
+                yield flat[at], np.concatenate([[0], ends[upto[1:] + np.arange(b - a)]])
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.specials):
-            return self.packed(self.library.encode(text, add_special_tokens=False).ids)
-        first, *rest = pieces(text)
-        return b"".join([*map(self.words.__getitem__, self.pattern.findall(first)), *map(self.pieces.__getitem__, rest)])
+        ids, offsets = next(self.encode(pa.array([text]), END))
+        return ids[:-1].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -155,18 +196,22 @@ def decode(blocks: list[tuple[bytes, np.ndarray, int]], tables: tuple[np.ndarray
     return found
 
 
+_IDS = pa.schema([("doc", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+
+
 def _tokenize(path: str):
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         counts = np.zeros(max(e.size, END + 1), np.int64)
-        end = e.packed([END])
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                part = batch.iloc[i : i + 1000]
-                ids = [e(t) + end for t in part["text"]]
-                counts += np.bincount(np.frombuffer(b"".join(ids), e.kind), minlength=len(counts))
-                yield pd.DataFrame({"doc": part["doc"].array, "ids": ids, "counts": None})
-        yield pd.DataFrame({"doc": pd.array([None], "Int64"), "ids": None, "counts": [counts.tobytes()]})
+            at = 0
+            for ids, offsets in e.encode(batch["text"], END):
+                counts += np.bincount(ids, minlength=len(counts))
+                n = len(offsets) - 1
+                blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((offsets * e.kind.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch["doc"].slice(at, n), blobs, pa.nulls(n, pa.binary())], schema=_IDS)
+                at += n
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], schema=_IDS)
 
     return of
 
@@ -220,7 +265,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, *, id_col: str = "doc_id"
     kind = "<u2" if size <= 1 << 16 else "<u4"
     scratch = Scratch(spark, "ids")
     own = docs.select(F.col(id_col).cast("long").alias("doc"), text_col(text).alias("text"))
-    ids = scratch.write(own.mapInPandas(_tokenize(path), "doc long, ids binary, counts binary"), "ids")
+    ids = scratch.write(own.mapInArrow(_tokenize(path), "doc long, ids binary, counts binary"), "ids")
     found = ids.where("ids IS NULL").select("counts").mapInPandas(_count_rows, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
     counts = np.zeros(max(size, END + 1), np.int64)
     counts[found["id"]] = found["n"]
