@@ -3,21 +3,29 @@
 Arrivals are appended as small immutable shards (Parquet files). A shard's tier is the power of ``FAN_IN`` that its
 size reaches, counted down from the target size. When a tier holds a run of ``FAN_IN`` shards or more, they are merged
 into files of about the target size, or one of a higher tier. Each append and merge writes its files first and then
-commits a manifest: the next version number, written aside and renamed, which fails if another writer took it. Readers
-read one version; files that no longer belong to the newest go with ``vacuum``.
+commits a manifest: the next version number, written aside and renamed, which fails if another writer took it; the
+loser tries again on the newer version. Readers read one version, which stays whole until ``vacuum`` retires it.
+
+A commit is atomic where a rename to a new name is, and fails if the name exists: on HDFS and local folders. Object
+stores that copy on rename need a folder with that property for ``manifest``.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm._common import Scratch, table
+from corvane.llm._common import Scratch, few, table
 
 TARGET_BYTES, FAN_IN, ARRIVALS = 64 << 20, 4, 3
+#: Files that one job of a compaction merges at most; what is left is merged by the next job.
+MERGE_FILES = 20_000
+#: Versions that ``vacuum`` keeps, and seconds for which it keeps older ones.
+KEEP_VERSIONS, KEEP_SECONDS = 2, 7 * 24 * 3600.0
 
 
 def _short(path: str) -> str:
@@ -34,7 +42,10 @@ class Conflict(RuntimeError):
 
 
 class ShardStore:
-    """A folder of shards under versioned manifests. The manifest has a row for each file, none for documents."""
+    """A folder of shards under versioned manifests.
+
+    A manifest has a row for each file, none for documents; the driver reads it whole, as it does the list of files of
+    any table."""
 
     def __init__(self, spark: SparkSession, folder: str, schema, *, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
@@ -97,12 +108,24 @@ class ShardStore:
 
     def append(self, docs: DataFrame) -> int:
         """Writes an arrival as small shards and commits them; an empty arrival commits nothing new."""
-        base = self.version()
-        shards = self.manifest(base)
         folder = f"data/a-{uuid.uuid4().hex}"
         docs.write.parquet(f"{self.folder}/{folder}")
-        new = self._written(folder, self.next_shard(shards), 0)
-        return self.commit(base, shards + new) if new else base
+        new = self._written(folder, 0, 0)
+        return self._replace([], new) if new else self.version()
+
+    def _replace(self, gone: list[dict], new: list[dict]) -> int:
+        """Commits the newest version without ``gone`` and with ``new``, numbered on; anew while others commit first.
+        Raises ``Conflict`` if a shard of ``gone`` is no longer there."""
+        while True:
+            shards = self.manifest(base := self.version())
+            paths = {s["path"] for s in gone}
+            kept, first = [s for s in shards if s["path"] not in paths], self.next_shard(shards)
+            if len(kept) != len(shards) - len(paths):
+                raise Conflict("another writer merged these shards")
+            try:
+                return self.commit(base, kept + [s | {"shard": first + i} for i, s in enumerate(new)])
+            except Conflict:
+                continue
 
     def tier(self, size: int) -> int:
         """0 from the target size on, else how often it must grow by ``fan_in`` to reach it."""
@@ -135,51 +158,71 @@ class ShardStore:
     def compact(self) -> int:
         """Merges by ``plan`` until no tier has a run; every merge is one job and one commit.
 
-        Older versions stay readable, with their files, until the caller calls ``vacuum``."""
-        while groups := self.plan(shards := self.manifest(base := self.version())):
-            of = [(_short(s["path"]), i) for i, g in enumerate(groups) for s in g]
-            names = self.spark.createDataFrame(of, "__file string, __group int")  # a row for each file that is merged
-            paths = [self.folder + "/" + s["path"] for g in groups for s in g]
-            rows = self.spark.read.schema(self.schema).parquet(*paths).withColumn("__file", _name())
-            rows = rows.join(F.broadcast(names), "__file").drop("__file")
+        Each group is smaller than two target sizes and has a task of its own, which writes one file. So each merge
+        leaves fewer shards. Older versions stay readable, with their files, until ``vacuum``."""
+        while groups := self.plan(self.manifest(self.version())):
+            job: list[list[dict]] = []
+            for g in groups:
+                if job and sum(map(len, job)) + len(g) > MERGE_FILES:
+                    break
+                job.append(g)
+            merged = [s for g in job for s in g]
+            of = [(_short(s["path"]), i) for i, g in enumerate(job) for s in g]
+            names = self.spark.createDataFrame(of, "file string, task int")  # at most MERGE_FILES, or one group
             folder = f"data/m-{uuid.uuid4().hex}"
-            rows.repartition(2 * len(groups), "__group").write.partitionBy("__group").parquet(f"{self.folder}/{folder}")
-            gone = {s["shard"] for g in groups for s in g}
-            kept = [s for s in shards if s["shard"] not in gone]
-            generation = 1 + max(s["generation"] for g in groups for s in g)
-            new = self._written(folder, self.next_shard(shards), generation)
-            if sum(s["rows"] for s in new) != sum(s["rows"] for g in groups for s in g):
+            dealt = self._rows(merged).join(F.broadcast(names), "file").repartitionById(len(job), "task")
+            dealt.select(*self._named()).write.parquet(f"{self.folder}/{folder}")
+            new = self._written(folder, 0, 1 + max(s["generation"] for s in merged))
+            if sum(s["rows"] for s in new) != sum(s["rows"] for s in merged):
                 raise RuntimeError("a merge lost or gained rows; nothing was committed")
-            self.commit(base, kept + new)
-        return base
-
-    def vacuum(self) -> None:
-        """Deletes data files that the newest version lacks, and older manifests."""
-        version = self.version()
-        live = {s["path"] for s in self.manifest(version)}
-        listing, root = self.fs.listFiles(self._path("data"), True), len(self._root())
-        while listing.hasNext():
-            path = listing.next().getPath()
-            if path.toString()[root:] not in live:
-                self.fs.delete(path, False)
-        for v in range(version - 1, 0, -1):
-            if not self.fs.delete(self._path(f"manifest/v{v:08d}.json"), False):
+            try:
+                self._replace(merged, new)
+            except Conflict:  # another compaction was first; its result is planned anew
+                continue
+        return self.version()
+
+    def _rows(self, shards: list[dict]) -> DataFrame:
+        """All rows of shards, with columns c0, c1, … and ``file``, the short name of theirs."""
+        rows = self.spark.read.schema(self.schema).parquet(*[self.folder + "/" + s["path"] for s in shards])
+        return rows.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(self.schema.fields)], _name().alias("file"))
+
+    def _named(self) -> list[Column]:
+        return [F.col(f"c{i}").alias(f.name) for i, f in enumerate(self.schema.fields)]
+
+    def vacuum(self, versions: int = KEEP_VERSIONS, seconds: float = KEEP_SECONDS) -> list[int]:
+        """Retires versions: all but the newest ``versions`` that were committed more than ``seconds`` ago. Their
+        manifests go, then the files that only they name; the retired versions are returned.
+
+        Files that no manifest has named yet, such as those of a writer before its commit, are never touched."""
+        newest, old = self.version(), []
+        for v in range(newest - max(1, versions), 0, -1):
+            path = self._path(f"manifest/v{v:08d}.json")
+            if not self.fs.exists(path):
                 break
+            if time.time() - self.fs.getFileStatus(path).getModificationTime() / 1000 >= seconds:
+                old.append(v)
+        named = {s["path"] for v in old for s in self.manifest(v)}
+        live = {s["path"] for v in range(newest, 0, -1) if v not in old and self.fs.exists(self._path(f"manifest/v{v:08d}.json")) for s in self.manifest(v)}
+        for v in sorted(old):
+            self.fs.delete(self._path(f"manifest/v{v:08d}.json"), False)
+        for path in sorted(named - live):
+            self.fs.delete(self._path(path), False)
+        return sorted(old)
 
     def read(self, version: int | None = None, shard: str = "shard") -> DataFrame:
         """All rows of a version with the number of their shard."""
         shards = self.manifest(version)
         if not shards:
             return self.spark.createDataFrame([], self.schema).withColumn(shard, F.lit(None).cast("long"))
-        names = self.spark.createDataFrame([(_short(s["path"]), s["shard"]) for s in shards], f"__file string, `{shard}` long")
-        rows = self.spark.read.schema(self.schema).parquet(*[self.folder + "/" + s["path"] for s in shards]).withColumn("__file", _name())
-        return rows.join(F.broadcast(names), "__file").drop("__file")
+        names = self.spark.createDataFrame([(_short(s["path"]), s["shard"]) for s in shards], "file string, number long")
+        return self._rows(shards).join(few(shards, names), "file").select(*self._named(), F.col("number").alias(shard))
 
 
 def shard_documents(docs: DataFrame, folder: str, *, id_col: str = "doc_id", arrivals: int = ARRIVALS, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> ShardStore:
     """Appends ``docs`` in arrivals (by a hash of the id; nulls in the first) and compacts after each.
 
-    All rows are kept, repeated ones too, with all columns; an empty table gives an empty store.
+    All rows are kept, repeated ones, nulls and very long texts too, with all columns whatever their names; an empty
+    table gives an empty store.
     """
     store = ShardStore(docs.sparkSession, folder, docs.schema, target_bytes=target_bytes, fan_in=fan_in)
     turn = F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(arrivals)), F.lit(0))
@@ -192,6 +235,6 @@ def shard_documents(docs: DataFrame, folder: str, *, id_col: str = "doc_id", arr
 def op5_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars and the shard of each document, read back from the newest version, with the shard's figures."""
     store = shard_documents(table(spark, sf_dir, "documents"), Scratch(spark, "shards").path("store"))
-    figures = [(s["shard"], s["rows"], s["bytes"], s["generation"]) for s in store.manifest()]
-    figures = spark.createDataFrame(figures, "shard long, shard_rows long, shard_bytes long, generation long")
-    return store.read().select("doc_id", "n_chars", "shard").join(F.broadcast(figures), "shard")
+    rows = [(s["shard"], s["rows"], s["bytes"], s["generation"]) for s in store.manifest()]
+    figures = spark.createDataFrame(rows, "shard long, shard_rows long, shard_bytes long, generation long")
+    return store.read().select("doc_id", "n_chars", "shard").join(few(rows, figures), "shard")
