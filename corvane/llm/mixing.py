@@ -5,8 +5,9 @@ its source's target over its size; prefix sums of the expected copies start at o
 document is emitted once for each integer that its prefix sum crosses. In order of size the words taken differ from
 the target by at most about one document's size.
 
-Ranks need no task to hold a source: rows are counted by source, size and two digits of the hash, the counts are
-summed up within the source, and rows are ranked only among those of equal source, size and digits.
+Ranks need no task to hold a source: rows are counted by source, size and three digits of the hash, and ranked only
+among those of equal source, size and digits. Counts are summed up in three steps, none of which holds a source's: over
+the blocks of ``BLOCK`` sizes of a source, the sizes of a block, and the digits of a size.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm._common import WORD, table
+from corvane.llm._common import WORD, Scratch, apart, table
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, 17
+DIGITS, BLOCK = 3, 64
 
 
 def size(text: str) -> Column:
@@ -44,40 +46,63 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: floa
     return w.select("k", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * F.col("level")).alias("target"))
 
 
+def sized(docs: DataFrame, *, id_col: str, text: str, source: str) -> DataFrame:
+    """``docs`` with size, k (the source, null told apart), src, h (a hash of the id, or of the text without one) and id."""
+    by = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("t"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)))
+    src = F.col(source).cast("string")
+    return docs.withColumns({"size": size(text), "src": src, "k": F.when(src.isNull(), "n").otherwise(F.concat(F.lit("s"), src)), "h": F.md5(by), "id": F.col(id_col)})
+
+
+def _before(rows: DataFrame, within: list[str], order: str) -> DataFrame:
+    """``rows`` (n) with ``before``: the sum of n of the rows before in order."""
+    w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+
+
+def counted(d: DataFrame, seed: int = SEED) -> DataFrame:
+    """``d`` (of ``sized``, written: it is read twice) with source_size, target and copies of each row."""
+    d = d.withColumn("g", F.substring("h", 1, DIGITS))
+    counts = d.groupBy("k", "size", "g").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("k", "size").agg(F.sum("n").alias("n")).withColumn("b", F.floor(F.col("size") / BLOCK))
+    blocks = sizes.groupBy("k", "b").agg(F.sum("n").alias("n"))
+    of_block = _before(blocks, ["k"], "b").select("k", "b", F.col("before").alias("p"))
+    of_size = _before(sizes, ["k", "b"], "size").join(of_block, ["k", "b"]).select("k", "size", (F.col("before") + F.col("p")).alias("p"))
+    info = _before(counts, ["k", "size"], "g").join(of_size, ["k", "size"]).select("k", "size", "g", (F.col("before") + F.col("p")).alias("before"))
+    aims = targets(d.groupBy("k", F.col("src").alias("source")).agg(F.sum("size").alias("source_size")))
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("k"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    info = info.join(aims, "k").withColumns({"rate": rate, "u": offset})
+    own = Window.partitionBy("k", "size", "g").orderBy("h", "id")
+    d = d.withColumn("r", F.row_number().over(own)).join(info, ["k", "size", "g"])
+    upto = lambda r: F.floor(F.col("rate") * (F.col("before") + r) + F.col("u"))
+    return d.withColumn("copies", (upto(F.col("r")) - upto(F.col("r") - 1)).cast("long"))
+
+
 def with_copies(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """``docs`` with columns __size, __source_size, __target and __copies (how often the mix takes the document).
 
-    Null texts have size 0; a source without words has target 0 and no copies; null sources are one source; rows that
-    repeat an id are ranked each; an empty table gives no rows. Reruns agree.
+    Null and empty texts have size 0; a source without words has target 0 and no copies; null sources are one source;
+    rows that repeat an id are ranked each; very long texts count whole; an empty table gives no rows; other columns
+    pass unchanged, whatever their names. Reruns agree. ``docs`` is written once to the shared folder, with its sizes.
     """
-    hashed = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    d = docs.withColumns({"__size": size(text), "__k": F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))), "__h": hashed})
-    d = d.withColumn("__g", F.substring("__h", 1, 2))
-    slim = d.select("__k", F.col(source).alias("source"), "__size", "__g")
-    aims = targets(slim.groupBy(F.col("__k").alias("k"), "source").agg(F.sum("__size").alias("source_size")))
-    counts = slim.groupBy("__k", "__size", "__g").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("__k").orderBy("__size", "__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("__k"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    aims = aims.select(F.col("k").alias("__k"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), rate.alias("__rate"))
-    info = counts.withColumn("__before", before).drop("n").join(aims, "__k").withColumn("__u", offset)
-    own = Window.partitionBy("__k", "__size", "__g").orderBy("__h", id_col)
-    d = d.withColumn("__n", F.row_number().over(own)).join(info, ["__k", "__size", "__g"])
-    rank = F.col("__before") + F.col("__n")
-    crossed = F.floor(F.col("__rate") * rank + F.col("__u")) - F.floor(F.col("__rate") * (rank - 1) + F.col("__u"))
-    d = d.withColumn("__copies", crossed.cast("long"))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], "__size", "__source_size", "__target", "__copies")
+    d, back, (i, t, s) = apart(docs, id_col, text, source)
+    d = Scratch(docs.sparkSession, "mix").write(sized(d, id_col=i, text=t, source=s), "sized")
+    d = counted(d, seed)
+    return d.select(*back, *[F.col(c).alias(f"__{c}") for c in ("size", "source_size", "target", "copies")])
 
 
-def mix(docs: DataFrame, **names) -> DataFrame:
-    """The mix: each document as often as it is taken, with its columns unchanged."""
-    d = with_copies(docs, **names).where("__copies > 0")
-    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+    """The mix: each document as often as it is taken (see ``with_copies``), with its columns unchanged."""
+    d, back, (i, t, s) = apart(docs, id_col, text, source)
+    d = Scratch(docs.sparkSession, "mix").write(sized(d, id_col=i, text=t, source=s), "sized")
+    taken = counted(d, seed).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*back)
 
 
 def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return d.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"), F.col("__copies").alias("copies"))
+    d = sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), id_col="doc_id", text="text", source="source")
+    d = counted(Scratch(spark, "mix").write(d.select("doc_id", "size", "src", "k", "h", "id"), "sized"))
+    return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 OP3_SQL = rf"""
