@@ -47,16 +47,17 @@ def _words(rows: DataFrame, name: str) -> Column:
     return listed(column)
 
 
-def puzzles(rows: DataFrame, *, width: int = 400) -> DataFrame:
+def puzzles(rows: DataFrame, *, width: int = 400, extra: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """From (PuzzleId or id, FEN, Moves, Rating, Themes; moves and themes as texts or arrays, names in any case): one
-    prepared puzzle for each row, or its ``error``. An id that is empty or 0 gives way to the other, then to the FEN."""
-    df = rows.select(*[c.alias(n) for n, c in (("__id", _alias(rows, "PuzzleId")), ("__id2", _alias(rows, "id")), ("__fen", _alias(rows, "FEN")), ("__moves", _words(rows, "Moves")), ("__themes", F.array_sort(_words(rows, "Themes"))), ("__rating", _alias(rows, "Rating")))])
+    prepared puzzle for each row, or its ``error``. An id that is empty or 0 gives way to the other, then to the FEN.
+    ``extra`` columns are kept."""
+    df = rows.select(*[c.alias(n) for n, c in (("__id", _alias(rows, "PuzzleId")), ("__id2", _alias(rows, "id")), ("__fen", _alias(rows, "FEN")), ("__moves", _words(rows, "Moves")), ("__themes", F.array_sort(_words(rows, "Themes"))), ("__rating", _alias(rows, "Rating")))], *extra)
     df = df.withColumn("r", K.replay("__fen", "__moves"))
     rating = F.coalesce(F.col("__rating").cast("int"), F.lit(0))
     given = lambda c: F.when(~F.col(c).cast("string").isin("", "0"), F.col(c).cast("string"))
     return df.select(
         F.coalesce(given("__id"), given("__id2"), F.col("__fen")).alias("puzzle_id"), F.col("__fen").alias("setup_fen"), F.try_element_at("__moves", F.lit(1)).alias("opponent_move"), F.col("r.fen").alias("fen"), F.col("r.solution").alias("solution"),
-        rating.alias("rating"), rating_bucket(rating, width).alias("rating_bucket"), F.col("__themes").alias("themes"), F.coalesce(F.try_element_at("__themes", F.lit(1)), F.lit(UNTAGGED)).alias("primary_theme"), F.col("r.error").alias("error"),
+        rating.alias("rating"), rating_bucket(rating, width).alias("rating_bucket"), F.col("__themes").alias("themes"), F.coalesce(F.try_element_at("__themes", F.lit(1)), F.lit(UNTAGGED)).alias("primary_theme"), F.col("r.error").alias("error"), *extra,
     )
 
 

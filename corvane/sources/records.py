@@ -13,23 +13,31 @@ from pyspark.sql import types as T
 
 
 def _files(spark: SparkSession, path: str) -> list[str] | None:
-    """Names in a folder, sorted; None for a file."""
+    """Names of the files in a folder and its subfolders, sorted; None for a file."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p):
         raise FileNotFoundError(path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.getFileStatus(p).isDirectory() else None
+    if not fs.getFileStatus(p).isDirectory():
+        return None
+    root, found, listing = fs.makeQualified(p).toString().rstrip("/") + "/", [], fs.listFiles(p, True)
+    while listing.hasNext():
+        found.append(listing.next().getPath().toString()[len(root) :])
+    return sorted(found)
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None, *, strict: bool = True) -> DataFrame:
     """Parquet by suffix or folder, else JSON lines (blank lines are skipped, a malformed one raises).
 
-    A folder without Parquet files raises FileNotFoundError if ``strict``, else gives no rows.
+    Subfolders, such as those of a resumable job, count as part of a folder. One without Parquet or JSON files raises FileNotFoundError if ``strict``, else gives no rows.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     names = _files(spark, path)
     if path.endswith(".parquet") or any(n.endswith(".parquet") for n in names or ()):
-        return reader.parquet(path)
+        nested = names is not None and not any(n.endswith(".parquet") and "/" not in n for n in names)
+        return reader.option("recursiveFileLookup", nested).parquet(path)
+    if any(n.endswith(".json") for n in names or ()):
+        return reader.json(path, mode="FAILFAST")
     if names is not None:
         if strict:
             raise FileNotFoundError(f"no Parquet file in {path}")

@@ -328,3 +328,35 @@ def test_resumable_job(spark, tmp_path):
     spark.range(5, 8).coalesce(1).write.mode("append").parquet(src)
     assert run() == 1
     assert sorted(r.x for r in spark.read.parquet(out).collect()) == [2 * i for i in range(8)]
+
+
+def test_jobs(spark, tmp_path, capsys):
+    import json
+
+    from corvane import jobs as cli
+
+    def file(name, rows):
+        (tmp_path / name).write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows), encoding="utf-8")
+        return str(tmp_path / name)
+
+    at = lambda name: str(tmp_path / name)
+    run = lambda *args: cli.main(list(args), spark)
+    ask = f"Best in FEN: {START}. Say"
+    raw = file("raw.jsonl", [{"instruction": ask, "input": "", "output": "vì 1. e4 FINAL_ANSWER: e2e4"}, {"instruction": "?", "input": "", "output": "x"}])
+    assert run("normalise", raw, "--target", at("norm")) == 0 and spark.read.json(at("norm")).first().label == "e2e4"
+    assert run("normalise", file("none.jsonl", [{"instruction": "?", "input": "", "output": "x"}])) == 1
+    assert run("translate", "--target", at("t"), "--checkpoint", at("c")) == 2
+    assert run("translate", "--source", at("norm"), "--target", at("t"), "--checkpoint", at("c")) == 0 and spark.read.parquet(at("t")).count() == 1
+    assert run("validate", at("t"), "--clean", at("clean"), "--rejected", at("bad")) == 1 and spark.read.json(at("bad")).first().reason == ["english_chunk"]  # nothing was translated
+    fine = file("fine.jsonl", [{"fen": START, "question": "đi gì?", "answer": "vì 1. e4", "label": "e2e4"}])
+    assert run("validate", fine, "--clean", at("clean"), "--strict-moves") == 0 and spark.read.parquet(at("clean")).count() == 1
+    puzzles = file("p.jsonl", [{"PuzzleId": f"p{i}", "FEN": START, "Moves": "e2e4 e7e5", "Rating": 400 * (i % 2), "Themes": "fork"} for i in range(6)] + [{"PuzzleId": "x", "FEN": "bad", "Moves": "a b", "Rating": 1, "Themes": ""}])
+    assert run("puzzles", puzzles, "--train", at("train"), "--test", at("test"), "--train-size", "4", "--test-size", "2", "--per-cell", "9") == 0
+    assert (spark.read.parquet(at("train")).count(), spark.read.parquet(at("test")).count()) == (4, 2)
+    assert run("accuracy", at("test")) == 2 and run("accuracy", at("test"), "--answer", "FINAL_ANSWER: e5", "--target", at("acc"), "--facts") == 0
+    assert "2/2" in capsys.readouterr().out
+    assert run("claims", at("test"), "--answer", "Nf6", "--target", at("claims")) == 0
+    assert run("export-ratings", file("a.jsonl", [{"id": i, "fen": START, "question": "q", "answer": "a"} for i in (1, 2)]), at("form.csv")) == 0
+    for who in ("ann", "bo"):
+        (tmp_path / f"{who}.csv").write_text("sample_id,naturalness,terminology\n1,4,5\n2,3,3\n")
+    assert run("collect-ratings", at("ann.csv"), at("bo.csv"), "--target", at("agree")) == 0 and "ann, bo" in capsys.readouterr().out
