@@ -1,15 +1,18 @@
 """Main text of web pages from the events of the standard library's streaming HTML parser.
 
-Parser events give lines (the text of one block), each with its characters, tags and containers. The text-to-tag ratio
-of the lines is smoothed with a Gaussian and split into two clusters by a threshold; the lines above it vote for the
-container that holds the content. Menus, headers, footers, sidebars, notices, adverts, forms and comments are known by
-their elements, roles and class or id words, and never become lines. All lines of the chosen container are kept.
+Parser events give lines (the text of one block), each with its characters outside links, its tags and its container.
+The text-to-tag ratios of the lines are smoothed with a Gaussian and split into two clusters by a threshold. The lines
+above it select the content: its root is the innermost container that holds them all, and containers within the root
+that have no such line go if they are mostly links or stand at page level. Elements, roles and whole class or id names
+that suggest menus, footers, adverts, forms or comments are a second signal: they divide a line's ratio, unless the
+element wraps the content.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,117 +22,134 @@ from pyspark.sql import functions as F
 from corvane.llm._common import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("nav footer aside form script style noscript template svg math button select textarea dialog iframe object canvas audio video head menu".split())
+#: Elements whose text is never shown as text of the page.
+SILENT = frozenset("script style noscript template svg math button select textarea iframe object canvas audio video head".split())
+SUSPECT = frozenset("nav footer aside form dialog menu".split())
+#: These never wrap the content, however much text they hold.
+NEVER = frozenset("nav footer aside menu header".split())
 CONTENT = frozenset(("article", "main"))
-CONTAINER = frozenset("html body article main section div ul ol dl table tbody thead tfoot blockquote figure details center header hgroup fieldset".split()) | SKIP
-BLOCK = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre figcaption address summary caption hr option legend".split()) | CONTAINER
+#: Containers that may be the root of the content.
+ROOTS = frozenset("html body article main section div form center fieldset".split())
+CONTAINER = frozenset("html body article main section div ul ol dl table tbody thead tfoot blockquote figure details center header hgroup fieldset".split()) | SILENT | SUSPECT
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+BLOCK = frozenset("p li dt dd tr pre figcaption address summary caption hr option legend".split()) | CONTAINER | HEADING
 SPACE = frozenset(("br", "td", "th"))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: What the ratio of a line in a suspect element is multiplied by.
+DAMP = 0.02
 _NOISE = re.compile(
-    r"^(?:ads?|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|side-?bar\w*|nav\w*|menu\w*|breadcrumbs?|foot|footer\w*|masthead|top-?bar|comments?|commentlist|repl(?:y|ies)|respond|disqus\w*|reader-?comments?|cookies?|consent|gdpr|notices?|notifications?|alerts?|newsletter\w*|subscri\w+|sign-?up|share|sharing|social\w*|related\w*|recommend\w*|popups?|modal|overlay|toolbar|paginat\w+|pager|widgets?|copyright|login|skip-?links?|outbrain|taboola|hidden|sr-only)$"
+    r"(?:ads?|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|footer\w*|masthead|topbar|comments?|commentlist|replies|respond|disqus\w*|cookies?|consent|gdpr|notices?|notifications?|alerts?|newsletter\w*|subscri\w+|signup|share|sharing|social\w*|related\w*|recommend\w*|popups?|modal|overlay|toolbar|paginat\w+|pager|widgets?|copyright|login|skiplinks?|outbrain|taboola)"
 )
-_PAGE_ONLY = re.compile(r"^(?:header|site-?header|page-?header|head)$")
-_NAMES = re.compile(r"[^\s_]+(?:-[^\s_]+)*")
+_PAGE_HEAD = frozenset(("header", "site-header", "page-header", "siteheader", "pageheader"))
+_NOT = frozenset("has have no not with without is hide show".split())
+_HIDDEN = re.compile(r"display\s*:\s*none")
 
 
-def _is_noise(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-    """Whether an element is not content; ``inside``: it is within an article or main element."""
-    if tag in SKIP or (tag == "header" and not inside):
+def names_noise(name: str, inside: bool) -> bool:
+    """Whether a class or id name stands for something that is not content: a part of it does, and it does not begin
+    with a word such as "has" or "no". ``inside``: the element is within an article or main element."""
+    if not inside and name in _PAGE_HEAD:
         return True
-    if tag in ("html", "body") or tag in CONTENT:
-        return False
+    parts = re.split(r"[-_]+", name)
+    return parts[0] not in _NOT and (bool(_NOISE.fullmatch("".join(parts))) or any(map(_NOISE.fullmatch, parts)))
+
+
+def _signs(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> tuple[bool, bool]:
+    """Of an element: whether it is not shown, and whether it is suspect."""
+    hidden, suspect = tag in SILENT, tag in SUSPECT or (tag == "header" and not inside)
     for name, value in attrs:
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and value:
-            for whole in value.lower().split():
-                for word in {whole, *re.split(r"[-_]+", whole)}:
-                    if _NOISE.match(word) or (not inside and _PAGE_ONLY.match(word)):
-                        return True
-    return False
+        value = (value or "").lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
+            hidden = hidden or tag not in ("html", "body")
+        elif name == "role":
+            suspect = suspect or value in ROLES
+        elif name in ("class", "id") and tag not in ("html", "body"):
+            suspect = suspect or any(names_noise(n, inside) for n in value.split())
+    return hidden, suspect
 
 
 class _Lines(HTMLParser):
-    """lines: (text, tags in it, characters in links, chain of open containers)."""
+    """Lines (text, tags in it, characters in links, container, whether a heading) and containers, of which number 0 is
+    the page: parent (always of a lower number), tag, whether suspect by its own signs, whether within content."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.kinds: list[str] = []  # tag of each container
-        self.open: list[tuple[str, int, bool]] = []  # tag, container or -1 if it is skipped, within content
-        self.chain: tuple[int, ...] = ()
-        self.skipped = 0
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.parent, self.tag, self.suspect, self.inside = [0], ["html"], [False], [False]
+        self.open: list[tuple[str, int]] = [("", 0)]  # tag and container, -1 if it is not shown
+        self.names: Counter[str] = Counter()
+        self.silent = 0
         self.text: list[str] = []
-        self.tags = self.linked = self.in_link = 0
+        self.tags = self.linked = 0
+        self.in_link = self.heading = False
 
     def end_line(self):
         if self.text:
             line = " ".join("".join(self.text).split())
             if line:
-                self.lines.append((line, self.tags, self.linked, self.chain))
+                self.lines.append((line, self.tags, min(self.linked, len(line)), self.open[-1][1], self.heading))
             self.text = []
         self.tags = self.linked = 0
+        self.heading = False
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.end_line()
-        if tag not in CONTAINER and tag not in ("p", "li", "span", "a", "td"):
-            if not self.skipped:
-                self.tags += 1
-                if tag in SPACE:
-                    self.text.append(" ")
-            return
-        inside = bool(self.open) and self.open[-1][2]
-        noise = bool(self.skipped or attrs or tag in CONTAINER) and _is_noise(tag, attrs, inside)
-        if tag in CONTAINER or noise:
+            self.heading = tag in HEADING
+        at = self.open[-1][1]
+        inside = at >= 0 and self.inside[at]
+        hidden, suspect = _signs(tag, attrs, inside) if (attrs or tag in CONTAINER) and tag not in VOID else (False, False)
+        if tag in CONTAINER or hidden or suspect:
             number = -1
-            if noise or self.skipped:
-                self.skipped += 1
+            if self.silent or hidden:
+                self.silent += 1
             else:
-                number = len(self.kinds)
-                self.kinds.append(tag)
-                self.chain += (number,)
-            self.open.append((tag, number, inside or (tag in CONTENT and not self.skipped)))
-        elif not self.skipped:
+                number = len(self.parent)
+                self.parent.append(at)
+                self.tag.append(tag)
+                self.suspect.append(suspect)
+                self.inside.append(inside or (tag in CONTENT and not suspect))
+            self.open.append((tag, number))
+            self.names[tag] += 1
+        elif not self.silent:
             self.tags += 1
-            if tag == "a":
-                self.in_link = 1
-            elif tag == "td":
+            if tag in SPACE:
                 self.text.append(" ")
+        if tag == "a":
+            self.in_link = True
 
     def handle_startendtag(self, tag, attrs):
-        if tag in SPACE or tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if tag == "a":
-            self.in_link = 0
-        if tag in BLOCK:
-            self.end_line()
-        elif tag in ("td", "th") and not self.skipped:
+            self.in_link = False
+        if tag in SPACE and not self.silent:
             self.text.append(" ")
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+        if not self.names[tag]:  # of no container
+            if tag in BLOCK:
                 self.end_line()
+            return
+        # the end of an inline element does not close containers around it
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i][0] == tag:
+                if tag in BLOCK or self.open[-1][0] in BLOCK:
+                    self.end_line()
                 while len(self.open) > i:
-                    if self.open.pop()[1] < 0:
-                        self.skipped -= 1
-                    else:
-                        self.chain = self.chain[:-1]
+                    name, number = self.open.pop()
+                    self.names[name] -= 1
+                    self.silent -= number < 0
                 return
-            if self.open[i][1] < 0 and tag not in CONTAINER:  # a stray end of an inline element within a skipped one
+            if tag not in CONTAINER and self.open[i][0] in CONTAINER:
                 return
 
     def handle_data(self, data):
-        if not self.skipped:
+        if not self.silent:
             self.text.append(data)
             if self.in_link:
-                self.linked += len(data.strip())
+                self.linked += len("".join(data.split()))
 
 
 def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -157,36 +177,82 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def ratios(page: _Lines, suspect: list[bool]) -> list[float]:
+    """Text-to-tag ratio of each line, on a logarithmic scale, smoothed. Text in links does not count, and lines of
+    suspect elements count little, both before they are smoothed (for their neighbours) and after (for themselves)."""
+    own = [(1 - linked / len(text)) * (DAMP if suspect[c] else 1) for text, _, linked, c, _ in page.lines]
+    raw = [math.log1p(w * len(line[0]) / (1 + line[1])) for w, line in zip(own, page.lines)]
+    return [w * v for w, v in zip(own, smoothed(raw))]
+
+
+def _sums(page: _Lines, values: list[float]) -> list[float]:
+    """By container: the sum of the values of all lines within it."""
+    out = [0.0] * len(page.parent)
+    for (_, _, _, c, _), v in zip(page.lines, values):
+        out[c] += v
+    for c in range(len(out) - 1, 0, -1):
+        out[page.parent[c]] += out[c]
+    return out
+
+
+def suspects(page: _Lines) -> list[bool]:
+    """By container: whether it or one around it is suspect. One that wraps the content is not: it holds nine tenths
+    of the page's text outside links, or most of it in an article or main element."""
+    text = _sums(page, [len(t) - linked for t, _, linked, _, _ in page.lines])
+    best = [0.0] * len(text)  # text of the largest article or main element within
+    for c in range(len(text) - 1, 0, -1):
+        if page.tag[c] in CONTENT and not page.suspect[c]:
+            best[c] = max(best[c], text[c])
+        best[page.parent[c]] = max(best[page.parent[c]], best[c])
+    out = [False]
+    for c in range(1, len(text)):
+        wraps = (page.tag[c] not in NEVER and text[c] >= 0.9 * text[0]) or (2 * text[c] > text[0] and 2 * best[c] > text[c])
+        out.append(out[page.parent[c]] or (page.suspect[c] and not wraps))
+    return out
+
+
+def content_lines(page: _Lines) -> list[int]:
+    """Numbers of the lines of the content."""
+    lines, parent = page.lines, page.parent
+    suspect = suspects(page)
+    ratio = ratios(page, suspect)
+    cut = threshold(ratio)
+    above = [r >= cut and r > 0 for r in ratio]
+    votes = _sums(page, [(len(line[0]) - line[2]) * a for line, a in zip(lines, above)])
+    if not votes[0] or all(suspect[line[3]] for line, a in zip(lines, above) if a):
+        return []
+    root = max(c for c in range(len(votes)) if votes[c] == votes[0] and (page.tag[c] in ROOTS))
+    around = root
+    while around and page.tag[around] not in CONTENT:
+        around = parent[around]
+    root = around or root
+    length, linked = _sums(page, [len(line[0]) for line in lines]), _sums(page, [line[2] for line in lines])
+    within, gone, top = [c == root for c in range(len(parent))], [False] * len(parent), page.tag[root] in ("html", "body")
+    for c in range(root + 1, len(parent)):
+        up = parent[c]
+        within[c] = within[up]
+        bare = not votes[c] and not page.inside[c] and (2 * linked[c] > length[c] or (top and up == root))
+        gone[c] = gone[up] or bare
+    kept = []
+    for i, (text, _, in_links, c, _) in enumerate(lines):
+        if within[c] and not gone[c] and (above[i] or not suspect[c]) and (above[i] or page.inside[c] or in_links <= 0.7 * len(text)):
+            kept.append(i)
+    first = kept[0] if kept else 0
+    while first and lines[first - 1][4] and not suspect[lines[first - 1][3]]:  # headings right before it
+        first -= 1
+        kept.insert(0, first)
+    return kept
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks, joined by two line feeds; empty if there is none."""
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
-    lines = parser.lines
-    if not lines:
-        return ""
-    ratio = smoothed([len(t) / (1 + tags) for t, tags, _, _ in lines])
-    cut = threshold(ratio)
-    votes: dict[int, int] = {}
-    total = 0
-    for (text, _, linked, chain), r in zip(lines, ratio):
-        if r >= cut and linked <= len(text) / 2:
-            total += len(text)
-            for c in chain:
-                votes[c] = votes.get(c, 0) + len(text)
-    # an article with most of the content, else the innermost container with all of it
-    best, inside = None, False
-    for c in sorted(votes):
-        if votes[c] >= (0.6 if parser.kinds[c] in CONTENT else 1) * total and not inside:
-            best, inside = c, parser.kinds[c] in CONTENT
-    if best is not None and parser.kinds[best] not in ("html", "body"):
-        kept = [t for t, _, _, chain in lines if best in chain]
-    else:
-        kept = [t for t, _, linked, chain in lines if (best is None or best in chain) and linked <= 0.7 * len(t)]
-    return "\n\n".join(kept)
+    page = _Lines()
+    page.feed(html)
+    page.close()
+    page.end_line()
+    return "\n\n".join([page.lines[i][0] for i in content_lines(page)]) if page.lines else ""
 
 
 def extract(column: Column) -> Column:
