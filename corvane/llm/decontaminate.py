@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm._common import Scratch, table
+from corvane.llm._common import Scratch, apart, table
 
 WINDOW = 10
 #: Benchmark words whose tables a worker holds at once; a larger benchmark is searched in blocks of about this many.
@@ -108,40 +108,51 @@ def _finder(shared) -> Column:
 
 
 @F.pandas_udf(_FOUND)
-def _both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    rows = zip(a["n_words"], a["spans"], b["spans"], a["items"], b["items"])
-    return pd.DataFrame([(n, merged([*x, *y]), sorted({*i, *j})) for n, x, y, i, j in rows], columns=_FOUND.names)
+def _all(spans: pd.Series, items: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    """What several blocks of the benchmark found in a text, as one."""
+    joined = lambda lists: [] if lists is None else [x for found in lists for x in found]
+    return pd.DataFrame([(len(words(t)), merged(joined(s)), sorted(set(joined(i)))) for s, i, t in zip(spans, items, texts)], columns=_FOUND.names)
 
 
 def with_occurrences(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, into: str = "__found") -> DataFrame:
     """``docs`` with one more column: struct n_words, spans ([start, end) of hit words, merged), items.
 
     Windows are ``window`` consecutive words of an item; an item of fewer, but not none, is one window. Null and empty
-    texts have no words; items without words or id match nothing; rows that repeat an item count it once; an empty
-    benchmark hits nothing. Whole texts are searched.
+    texts have no words; items without words or id match nothing; rows that repeat an item count it once, repeated
+    documents are searched each; an empty benchmark hits nothing, empty documents give no rows. Whole texts are
+    searched, however long. Other columns pass unchanged, whatever their names.
 
-    The benchmark goes to the workers in blocks of about ``block_words`` words, one pass over the documents each; with
-    several blocks each pass is written to the shared folder before the next, so memory never grows with either table.
+    The benchmark goes to the workers in blocks of about ``block_words`` words. One block is searched in one pass. With
+    more there is a pass over the texts for each, which writes what it found, by a hash of the text, and nothing else;
+    the findings are joined to the documents at the end. So memory and what is written do not grow with the passes.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = 1 + total // (5 * block_words)
-    scratch, out = (Scratch(spark, "decontaminate") if n_blocks > 1 else None), docs
-    for k in range(n_blocks):
+    d, back, (own,) = apart(docs, text)
+    whole = F.col(own).cast("string")
+
+    def finder(k: int) -> Column:
         block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == k)
-        shared = spark.sparkContext.broadcast(matchers([(r["i"], r["t"]) for r in block.collect()], window))  # bounded by block_words
-        find = _finder(shared)(F.col(text).cast("string"))
-        out = out.withColumn(into, find if k == 0 else _both(F.col(into), find))
-        if scratch:
-            out = scratch.write(out, f"pass{k}")
-            scratch.drop(f"pass{k - 1}")
-    return out
+        return _finder(spark.sparkContext.broadcast(matchers([(r["i"], r["t"]) for r in block.collect()], window)))  # bounded by block_words
+
+    if n_blocks == 1:
+        return d.withColumn("found", finder(0)(whole)).select(*back, F.col("found").alias(into))
+    scratch, names, found = Scratch(spark, "decontaminate"), [], None
+    for k in range(n_blocks):
+        hits = d.where(whole.isNotNull()).select(F.sha2(whole, 256).alias("by"), finder(k)(whole).alias("f")).where(F.size("f.spans") > 0)
+        hits = scratch.write(hits.select("by", "f.spans", "f.items").dropDuplicates(["by"]), f"pass{k}")
+        found, names = hits if found is None else found.unionByName(hits), [*names, f"pass{k}"]
+    found = found.groupBy("by").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))  # a row for each block, at most
+    out = d.withColumn("by", F.sha2(whole, 256)).join(found, "by", "left")
+    return out.select(*back, _all(F.col("spans"), F.col("items"), whole).alias(into))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
-    """The documents in which no benchmark window occurs, with their columns unchanged."""
-    return with_occurrences(docs, benchmark, into="__found", **names).where(F.size("__found.spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents in which no benchmark window occurs, with their columns unchanged (see ``with_occurrences``)."""
+    into = next(n for n in (f"found{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    return with_occurrences(docs, benchmark, into=into, **names).where(F.size(f"{into}.spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
