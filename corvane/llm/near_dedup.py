@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm._common import WORD, Scratch, parts, table
+from corvane.llm._common import WORD, Scratch, apart, parts, table
 from corvane.llm.bpe import Memo
 
 BANDS, WIDTH, PERCENT, SEED = 84, 8, 80, 20240607
@@ -289,7 +289,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     few = _few(ids)
     sets = scratch.write(own.join(few, "doc", "left_semi").mapInPandas(_sets(shingle), "doc long, set array<long>"), "sets")
     bits = [f"s{i}" for i in range(BITS // 64)]
-    sketches = signed.select("doc", *[F.col("bits")[i].alias(c) for i, c in enumerate(bits)]).join(few, "doc", "left_semi").dropDuplicates(["doc"])
+    sketches = signed.select("doc", "same", *[F.col("bits")[i].alias(c) for i, c in enumerate(bits)]).join(few, "doc", "left_semi")
+    sketches = sketches.groupBy("doc").agg(*[F.min_by(c, "same").alias(c) for c in bits])
     sketches = scratch.write(sketches, "sketches")  # bucket rows stay slim; pairs get the sketches of their two documents
     hubs = buckets.groupBy("doc").agg(F.sum("size").alias("hub"))
     buckets = scratch.write(buckets.drop("size").join(hubs, "doc"), "buckets")
@@ -350,21 +351,23 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shi
     Rows without id are known by a hash of their text, one row for each text, and come after all ids below 2^62.
     ``repeats``: rows that repeat an id and its text all stay, else one of them. Texts without words all stay.
     """
-    words = F.coalesce(F.col(text).cast("string").rlike(WORD), F.lit(False))
-    by_text = F.xxhash64(F.col(text).cast("string")).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), by_text))
-    gone = near_duplicates(keyed, id_col="__key", text=text, shingle=shingle).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti")
-    copy = words & F.col(id_col).isNull() if repeats else words
-    many = keyed.where(copy).groupBy("__key").count().where("count > 1").select("__key")
+    d, back, (i, t) = apart(docs, id_col, text)
+    whole = F.col(t).cast("string")
+    words = F.coalesce(whole.rlike(WORD), F.lit(False))
+    by_text = F.xxhash64(whole).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = d.withColumn("key", F.coalesce(F.col(i).cast("long"), by_text))
+    gone = near_duplicates(keyed, id_col="key", text=t, shingle=shingle).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    left = keyed.join(gone, F.col("key") == F.col("gone"), "left_anti")
+    copy = words & F.col(i).isNull() if repeats else words
+    many = keyed.where(copy).groupBy("key").count().where("count > 1").select("key")
     many = Scratch(docs.sparkSession, "repeats").write(many, "keys")
     if many.isEmpty():
-        return left.drop("__key")
-    rest = left.join(many, "__key", "left_anti")
-    again = left.join(many, "__key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__key", text).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
-    once = again.where(copy).withColumn("__row", first).where("__row = 1")
-    return rest.unionByName(again.where(~copy)).unionByName(once.drop("__row")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return left.select(*back)
+    rest = left.join(many, "key", "left_anti")
+    again = left.join(many, "key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("key", t).orderBy(F.to_json(F.struct(*[F.col(c) for c in d.columns]))))
+    once = again.where(copy).withColumn("row", first).where("row = 1").drop("row")
+    return rest.unionByName(again.where(~copy)).unionByName(once).select(*back)
 
 
 def op2_min_max_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
