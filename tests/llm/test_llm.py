@@ -229,8 +229,58 @@ def test_merges_keep_older_versions(spark, docs):
     store.compact()
     assert store.version() > old
     assert all(store.read(v).drop("shard").exceptAll(docs).count() == 0 and store.read(v).count() == docs.count() for v in range(old, store.version() + 1))
-    store.vacuum()
-    assert store.read().count() == docs.count()
+    assert store.vacuum() == []  # all are recent
+    newest = store.version()
+    assert store.vacuum(versions=2, seconds=0) == list(range(1, newest - 1))
+    assert store.read().count() == store.read(newest - 1).count() == docs.count()
+    with pytest.raises(Exception):
+        store.read(old).count()
+
+
+def test_a_vacuum_between_an_append_and_its_commit(spark, docs, monkeypatch):
+    store = sharding.ShardStore(spark, Scratch(spark, "s").path("store"), docs.schema, target_bytes=60_000, fan_in=2)
+    half = docs.where("doc_id % 2 = 0")
+    store.append(half.repartition(4))
+    commit, crossed = store.commit, []
+
+    def late(base, shards):
+        if not crossed:  # another writer merges, commits and cleans up meanwhile
+            crossed.append(1)
+            other = sharding.ShardStore(spark, store.folder, docs.schema, target_bytes=60_000, fan_in=2)
+            other.compact()
+            other.vacuum(versions=1, seconds=0)
+        return commit(base, shards)
+
+    monkeypatch.setattr(store, "commit", late)
+    store.append(docs.where("doc_id % 2 = 1"))
+    assert store.read().count() == docs.count() and store.read().drop("shard").exceptAll(docs).count() == 0
+    assert len({s["shard"] for s in store.manifest()}) == len(store.manifest())
+
+
+def test_plans_against_a_plain_model(spark, docs):
+    store = sharding.ShardStore(spark, "/tmp/none", docs.schema, target_bytes=1000, fan_in=3)
+    assert [store.tier(n) for n in (1000, 5000, 999, 334, 333, 112, 111, 0)] == [0, 0, 1, 1, 2, 2, 3, 7]
+    rng = random.Random(2)
+    for _ in range(200):
+        shards = [{"shard": i, "bytes": rng.choice([3, 40, 150, 400, 900, 1200])} for i in range(rng.randint(0, 30))]
+        plan = store.plan(shards)
+        used = [s["shard"] for g in plan for s in g]
+        assert len(used) == len(set(used))
+        for g in plan:
+            tiers, total = {store.tier(s["bytes"]) for s in g}, sum(s["bytes"] for s in g)
+            assert len(tiers) == 1 and 0 not in tiers and len(g) > 1 and total - g[-1]["bytes"] < 1000 and (total >= 1000 or len(g) >= 3)
+        for t in {store.tier(s["bytes"]) for s in shards} - {0}:
+            run = [s["shard"] for s in shards if store.tier(s["bytes"]) == t]
+            groups = [[s["shard"] for s in g] for g in plan if store.tier(g[0]["bytes"]) == t]
+            assert (bool(groups) or len(run) < 3) and run[: sum(map(len, groups))] == [x for g in groups for x in g]
+
+
+def test_shards_of_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "t", "f", 1, 2) for i in range(50)], "doc_id long, c1 string, file string, task int, n int").repartition(8)
+    store = sharding.ShardStore(spark, Scratch(spark, "s").path("store"), df.schema, target_bytes=1 << 20, fan_in=2)
+    store.append(df)
+    store.compact()
+    assert len(store.manifest()) == 1 and store.read(shard="number").drop("number").exceptAll(df).count() == 0
 
 
 # quality and language
@@ -249,6 +299,45 @@ def test_quality(spark, odd, docs):
     assert quality.keep_good(odd, model).columns == odd.columns
 
 
+def test_scores_against_plain_sums(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, len(quality.FEATURES)))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] * x[:, 2] > 0.5)).astype(float)
+    model = quality.fit_arrays(x, y)
+    for row, score in zip(x[:40].tolist(), model.score(x[:40]).tolist()):
+        at = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges)]
+        total = model.base + sum(float(t[i]) for t, i in zip(model.tables, at)) + sum(float(t[at[f], at[g]]) for f, g, t in model.pairs)
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+    assert ((model.score(x) >= 0.5) == y).mean() > 0.9 and len(model.pairs) == quality.PAIRS
+    g, h = rng.normal(size=12), rng.uniform(0.5, 2, 12)
+    want = max((g[:k].sum() ** 2 / (h[:k].sum() + 1) + g[k:].sum() ** 2 / (h[k:].sum() + 1) - g.sum() ** 2 / (h.sum() + 1), k) for k in range(1, 12) if h[:k].sum() > 1 and h[k:].sum() > 1)
+    assert quality._split(g, h) == (pytest.approx(want[0]), want[1])
+    tree = quality._tree(g, h)
+    cuts = np.flatnonzero(np.diff(tree)) + 1
+    assert len(cuts) <= 2 and all(np.allclose(tree[a:b], g[a:b].sum() / (h[a:b].sum() + 1)) for a, b in zip([0, *cuts], [*cuts, 12]))
+
+
+def test_operators_on_empty_tables(spark, odd):
+    none = odd.limit(0)
+    model = quality.fit_arrays(np.zeros((0, len(quality.FEATURES))), np.zeros(0))
+    assert quality.quality_scores(none, model).count() == quality.keep_good(none, model).count() == 0
+    assert language.identify(none, language.fit(none)).count() == 0
+    assert token_counts.token_counts(none, PATH).count() == 0
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert decontaminate.with_occurrences(none, bench).count() == decontaminate.with_occurrences(none, bench, block_words=1).count() == 0
+
+
+def test_mixing_of_hot_sizes_and_clashing_columns(spark, monkeypatch):
+    rows = [(i, "w " * (3 if i % 3 else i % 200), "a" if i % 4 else "b", 1, 2, "x") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k int, copies int, __size string")
+    plain = {(r.doc_id): r["__copies"] for r in mixing.with_copies(df.drop("__size")).collect()}
+    monkeypatch.setattr(mixing, "DIGITS", 1)
+    monkeypatch.setattr(mixing, "BLOCK", 2)
+    assert {(r.doc_id): r["__copies"] for r in mixing.with_copies(df.drop("__size")).collect()} == plain
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and mixed.count() == sum(plain.values())
+
+
 def test_most_frequent_is_of_the_whole_text():
     at = quality.FEATURES.index("most_frequent")
     texts = [" ".join([*map(str, range(40)), *["late"] * 60]), " ".join(f"w{i} odd" for i in range(50)), "one", "", None]
@@ -299,6 +388,46 @@ def test_pages_of_divs_only():
     assert html_text.main_text(quoted) == "\n\n".join(["short", first, first, first])
 
 
+WORDS = "some words of an article that go on for a while "
+UNNAMED = f"<body><div><p>Home, news</p><p>Sport</p></div><div><h2>Title</h2><p>{WORDS * 9}</p><p>short</p><p>{WORDS * 7}</p></div><div><p>Terms</p><p>About us</p></div></body>"
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<div class='layout has-sidebar'><article><h1>A</h1><p>text</p></article></div>", "A\n\ntext"),
+    ("<div class='content no-comments'><article><p>text of it</p></article></div>", "text of it"),
+    ("<body><form id=f><nav>menu</nav><div><article><p>some text</p><p>x</p></article></div><footer>foot</footer></form></body>", "some text\n\nx"),
+    ("<div id=comments-wrap><article><p>" + WORDS * 5 + "</p></article><p>a note</p></div><div class=comment>" + WORDS * 3 + "</div>", (WORDS * 5).strip() + "\n\na note"),
+    ("<body><div id=c><h1>T</h1><ul>" + "".join(f"<li><a href=/{i}>link number {i}</a></li>" for i in range(30)) + f"</ul><p>{WORDS * 9}</p><p>short</p></div></body>", f"T\n\n{(WORDS * 9).strip()}\n\nshort"),
+    ("<article><p>" + WORDS + "</p><div class=ad>" + WORDS + "</div><section id=comments><article class=comment><p>" + WORDS * 6 + "</p></article></section></article>", WORDS.strip()),
+    ("<p hidden>no</p><p>yes</p><div style='display: none'>no</div></b></i></p>", "yes"),
+    (UNNAMED, f"Title\n\n{(WORDS * 9).strip()}\n\nshort\n\n{(WORDS * 7).strip()}"),
+])
+def test_pages_of_odd_shape(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_clusters_of_smoothed_ratios_select_the_content(monkeypatch, spark):
+    pages = [UNNAMED, *[r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]]
+    want = [html_text.main_text(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "threshold", lambda values: 0)  # every line votes
+        assert sum(html_text.main_text(p) != w for p, w in zip(pages, want)) > len(pages) // 2
+    page = f"<body><div><p>{WORDS * 8}</p></div><div><h4>Sub</h4><p>x</p></div><div><p>{WORDS * 8}</p></div><div><p>a</p></div><div><p>b</p></div></body>"
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "smoothed", lambda values: values)
+        assert "x" not in html_text.main_text(page).split("\n\n")
+    assert "x" in html_text.main_text(page).split("\n\n")
+    assert html_text.smoothed([1, 1, 1]) == pytest.approx([1, 1, 1]) and html_text.threshold([1, 2, 9, 10]) == 5.5
+
+
+def test_very_long_pages_and_empty_tables(spark):
+    body = "".join(f"<p>{WORDS * 3} {i}</p>" for i in range(20_000))
+    got = html_text.main_text(f"<body><nav><a href=/>x</a></nav><article>{body}</article></body>")
+    assert got.count("\n\n") == 19_999 and got.endswith("19999")
+    assert html_text.main_text("<div>" * 20_000 + "deep" + "</b></div>" * 20_000) == "deep"
+    assert html_text.page_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_pages_against_the_templates(spark):
     import html
     import re
