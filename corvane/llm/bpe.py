@@ -27,7 +27,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 _RUN_ARROW = rf"{_SPACE} (?:{_SPACE}|\z)"
 #: Text that is cut at once, in bytes, and distinct pieces that a worker keeps.
-SLICE, KEPT = 48 << 20, 1_000_000
+SLICE, KEPT = 40 << 20, 1_000_000
 
 
 def pieces(text: str) -> list[str]:
@@ -82,7 +82,10 @@ class Cut:
 
     def numbers(self, pieces: list[str], inner: bool) -> np.ndarray:
         rows = self.rows[inner]
-        new = [p for p in pieces if p not in rows]
+        known = list(map(rows.get, pieces))
+        if None not in known:
+            return np.array(known, np.int64)
+        new = [p for p, row in zip(pieces, known) if row is None]
         if inner and rows and sum(map(len, self.rows)) + len(new) > KEPT:
             self.rows[0].clear()
             self.rows[1].clear()
@@ -112,7 +115,9 @@ class Cut:
             heads = [pieces[i] for i in own.indices.to_numpy()[offsets[:-1]].tolist()]
             of_heads = self.numbers(list(dict.fromkeys(heads)), False)  # learns them
             rows[offsets[:-1]] = of_heads if len(of_heads) == len(heads) else np.fromiter(map(self.rows[False].__getitem__, heads), np.int64, len(heads))
-            yield part, odd.to_numpy(zero_copy_only=False), rows, offsets
+            odd = odd.to_numpy(zero_copy_only=False)
+            del cut, own, pieces, heads, of_heads  # not held while the caller works
+            yield part, odd, rows, offsets
 
 
 class MergeCounter:

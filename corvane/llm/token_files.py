@@ -65,12 +65,13 @@ class Encoder:
     def learn(self, pieces: list[str], inner: bool) -> None:
         """Most pieces are letters, or letters and ASCII marks behind them; the others are cut by the word pattern."""
         lead, tokenize, words, find, alphabet, marks = " " if inner else "", self.model.tokenize, self.words, self.find, self.alphabet, self.marks
+        head, punctuation = lead.translate(alphabet), string.punctuation
         ids: list[int] = []
         ends: list[int] = []
         for p in pieces:
-            core = p.rstrip(string.punctuation)
-            if core.isalpha() and (core.isascii() or max(core) < "\u0530"):
-                ids += [t.id for t in tokenize((lead + core).encode().decode("latin-1").translate(alphabet))]
+            core = p.rstrip(punctuation)
+            if core.isalpha() and ((plain := core.isascii()) or max(core) < "\u0530"):
+                ids += [t.id for t in tokenize(head + (core if plain else core.encode().decode("latin-1").translate(alphabet)))]
                 if len(core) < len(p):
                     ids += marks[p[len(core) :]]
             else:
@@ -156,11 +157,12 @@ def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[byt
     at = ends - n
     out = np.zeros((int(ends[-1]) + 63) // 64 + 1, np.uint64)
     word, shift, code = at >> 6, 64 - (at & 63) - n, codes[ids]
-    over = shift < 0
-    high = np.where(over, code >> np.where(over, -shift, 0).astype(np.uint64), code << np.where(over, 0, shift).astype(np.uint64))
+    over = np.flatnonzero(shift < 0)
+    high = code << np.maximum(shift, 0).view(np.uint64)
+    high[over] = code[over] >> (-shift[over]).view(np.uint64)
     first = np.flatnonzero(np.diff(word, prepend=-1))
     out[word[first]] = np.bitwise_or.reduceat(high, first)
-    out[word[over] + 1] |= code[over] << (64 + shift[over]).astype(np.uint64)
+    out[word[over] + 1] |= code[over] << (64 + shift[over]).view(np.uint64)
     return out.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], at[::STEP]
 
 
