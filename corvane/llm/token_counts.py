@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +19,9 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text: st
     each; an empty table gives no rows; other columns are ignored, whatever their names.
     """
 
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
-        c = counter(path)
-        return pd.Series([c.count(t) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array(counter(path).counts(texts))
 
     own = docs.select(F.col(id_col).alias("doc_id"), text_col(text).alias("t"))
     out = own.select("doc_id", F.octet_length("t").cast("long").alias("n_bytes"), count("t").alias("n_tokens"))
