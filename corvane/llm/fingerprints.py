@@ -97,7 +97,9 @@ _OUT = T.StructType([
 
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """``doc_id`` and ``fingerprint`` of each row; null and empty texts have the empty fingerprint."""
+    """``doc_id`` and ``fingerprint`` of each row; null and empty texts have the empty fingerprint.
+
+    Texts are read whole; repeated rows get equal results; an empty table gives no rows; other columns are ignored."""
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:

@@ -221,7 +221,8 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text: str
     """doc_id, lang_pred, score (0 to 1) and the spans of words of each row.
 
     A null text, one without letters, and any text under a model without languages give ``und``, 0 and no spans.
-    Ties go to the language first in order. Texts are read whole; repeated rows get equal results.
+    Ties go to the language first in order. Texts are read whole; repeated rows get equal results; an empty table gives
+    no rows; other columns are ignored.
     """
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # BUCKETS x languages
 

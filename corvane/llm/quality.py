@@ -179,12 +179,16 @@ def scorer(model: Additive):
 
 
 def quality_scores(docs: DataFrame, model: Additive, *, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row; null and empty texts are scored as empty ones."""
+    """doc_id, held_out, score and predicted of each row; null and empty texts are scored as empty ones.
+
+    Very long texts are read whole; repeated rows get equal results; a null id is not held out; an empty table gives no
+    rows; other columns are ignored."""
     return docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), scorer(model)(F.col(text).cast("string")).alias("score")).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def keep_good(docs: DataFrame, model: Additive, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the model does not reject, with their columns unchanged."""
+    """The documents that the model does not reject, with their columns unchanged, whatever their names. Null and empty
+    texts are scored as empty ones; repeated rows share a fate; an empty table gives no rows."""
     return docs.where(scorer(model)(F.col(text).cast("string")) >= threshold)
 
 
