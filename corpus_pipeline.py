@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: quality, near duplicates, benchmark leaks, source mix, shards."""
+"""A training corpus from raw documents: quality, near duplicates, benchmark leaks, source mix, shards.
+
+All stages take nulls in any column, empty and very long texts, repeated rows, empty tables and other columns, which they
+pass on unchanged. Null and empty texts are scored as empty ones, are no near duplicates, hold no benchmark passage and
+have size 0, so a mix may leave them out. Of rows that repeat an id and a text one stays.
+"""
 
 from __future__ import annotations
 
