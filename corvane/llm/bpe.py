@@ -26,6 +26,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: ``_RUN`` for Arrow's expressions, whose classes of white space know ASCII only.
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 _RUN_ARROW = rf"{_SPACE} (?:{_SPACE}|\z)"
+#: A word never goes on from a letter to one of these marks or a line feed, nor from a line feed to a letter; there a
+#: batch is cut too, by a space and ``JOINED``. The letters are such under every version of Unicode.
+_LETTER = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{400}-\x{481}\x{1EA0}-\x{1EF9}]"
+_MARKS = rf"({_LETTER})([!-/:-@\[-`{{-~\n])"
+JOINED = "\x01"
+_LINES = rf"([{JOINED}!-~]\n)({_LETTER})"
 #: Text that is cut at once, in bytes, and distinct pieces that a worker keeps.
 SLICE, KEPT = 40 << 20, 1_000_000
 
@@ -70,13 +76,14 @@ def specification(path: str) -> dict:
 class Cut:
     """Cuts a batch of texts into pieces in native code and hands out a row number for each distinct piece.
 
-    ``odd`` tells texts that hold a special string or a run of white space; they have one piece, the empty one, and the
-    caller works them out alone. ``learn(pieces, inner)`` is called with pieces that have no row yet; ``inner`` ones
-    have a space before them. After ``KEPT`` pieces the table starts afresh (``clear``).
+    ``odd`` tells texts that hold a special string, ``JOINED`` or a run of white space; they have one piece, the empty
+    one, and the caller works them out alone. ``learn(pieces, inner)`` is called with pieces that have no row yet;
+    ``inner`` ones have a space before them, or begin with ``JOINED`` if they have none. After ``KEPT`` pieces the table
+    starts afresh (``clear``).
     """
 
     def __init__(self, specials: list[str], learn: Callable[[list[str], bool], None], clear: Callable[[], None]):
-        self.unfit = "|".join([_RUN_ARROW, *map(re.escape, specials)])
+        self.unfit = "|".join([_RUN_ARROW, JOINED, *map(re.escape, specials)])
         self.learn, self.clear = learn, clear
         self.rows: tuple[dict[str, int], dict[str, int]] = ({}, {})
 
@@ -107,7 +114,9 @@ class Cut:
                 continue
             part = texts.slice(a, b - a)
             odd = pc.match_substring_regex(part, self.unfit)
-            cut = pc.split_pattern(pc.if_else(odd, "", part), " ")
+            own = pc.replace_substring_regex(pc.if_else(odd, "", part), _MARKS, rf"\1 {JOINED}\2")
+            own = pc.replace_substring_regex(own, _LINES, rf"\1 {JOINED}\2")
+            cut = pc.split_pattern(own, " ")
             own = cut.flatten().dictionary_encode()
             offsets = cut.offsets.to_numpy().astype(np.int64)
             pieces = own.dictionary.to_pylist()
@@ -152,7 +161,7 @@ class MergeCounter:
         self.table = np.zeros(0, np.int64)
 
     def learn(self, pieces: list[str], inner: bool) -> None:
-        counts = [self.piece(p) if inner else self.plain(p) for p in pieces]
+        counts = [self.plain(p) if not inner else self.plain(p[1:]) if p.startswith(JOINED) else self.piece(p) for p in pieces]
         self.table = np.concatenate([self.table, np.array(counts, np.int64)])
 
     def counts(self, texts: pa.Array) -> np.ndarray:

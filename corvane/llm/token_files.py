@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.llm._common import Scratch, parts, table, text_col
-from corvane.llm.bpe import PATTERN, Cut, Memo, byte_alphabet, specification
+from corvane.llm.bpe import JOINED, PATTERN, Cut, Memo, byte_alphabet, specification
 
 END, LIMIT, STEP, BLOCK = 0, 20, 256, 1 << 16
 _BLOCKS = "part int, block int, n_tokens long, docs array<long>, lengths array<long>, payload binary, checkpoints array<long>"
@@ -69,6 +69,11 @@ class Encoder:
         ids: list[int] = []
         ends: list[int] = []
         for p in pieces:
+            if inner and p.startswith(JOINED):
+                for w in find(p[1:]):
+                    ids += words[w]
+                ends.append(len(ids))
+                continue
             core = p.rstrip(punctuation)
             if core.isalpha() and ((plain := core.isascii()) or max(core) < "\u0530"):
                 ids += [t.id for t in tokenize(head + (core if plain else core.encode().decode("latin-1").translate(alphabet)))]

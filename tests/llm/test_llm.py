@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, same
 from pyspark.sql import functions as F
@@ -152,6 +153,16 @@ def test_counts_and_ids_of_odd_texts(text):
     assert np.frombuffer(token_files.encoder(PATH)(text), "<u2").tolist() == want
 
 
+def test_batches_of_texts_cut_at_marks_and_lines():
+    library, rng = tokenizers.Tokenizer.from_file(PATH), np.random.default_rng(3)
+    atoms = ["a", "word", "The", "é", "Đư", "Я", "'s", "'", ".", "...", "-", "_", "1", "²", "汉", "\n", ".\n", "\n\n", "\r\n", "\t", " ", " b", "\u0301", "\x01", "\x0b", "\xa0", "<|endoftext|>"]
+    texts = ["".join(rng.choice(atoms, rng.integers(0, 14))) for _ in range(4000)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert bpe.counter(PATH).counts(pa.array(texts)).tolist() == list(map(len, want))
+    parts = [ids[a:b].tolist() for ids, upto in token_files.encoder(PATH).encode(pa.array(texts), 0) for a, b in zip(upto, upto[1:])]
+    assert parts == [ids + [0] for ids in want]
+
+
 def test_token_counts(spark, odd, docs):
     library = tokenizers.Tokenizer.from_file(PATH)
     for df, rows in ((odd, [r[:2] for r in ROWS]), (docs, [tuple(r) for r in docs.select("doc_id", "text").collect()])):
