@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.functions.columns import free
 from corvane.operators import sampling
+from corvane.sources.scratch import Scratch
 
 
 def text_reasons(*texts: Column, run: int = 8, terms: dict[str, str] | None = None, variants: dict[str, str] | None = None) -> Column:
@@ -31,14 +33,20 @@ def through_distinct(df: DataFrame, column: str, transform: Callable[[DataFrame,
 def gated(df: DataFrame, source: str, first: Callable[[Column], Column], retry: Callable[[Column, Column], Column], into: str) -> DataFrame:
     """Transforms, checks, transforms refused rows once more with the reason at hand, and falls back to the source.
 
-    Adds ``into`` and ``fault``, the reason if the source was kept.
+    Adds ``into`` and ``fault``, the reason if the source was kept. The first pass is written; only the rows that it
+    refused are read for the second, so ``retry`` gets no other row. Null sources stay null.
     """
-    s = F.col(source)
-    df = df.withColumn("__one", T.without_thoughts(first(s))).withColumn("__why", T.translation_fault(s, F.col("__one")))
-    df = df.withColumn("__two", F.when(F.col("__why").isNotNull(), T.without_thoughts(retry(s, F.col("__why")))))
-    df = df.withColumn("fault", F.when(F.col("__why").isNotNull(), T.translation_fault(s, F.col("__two"))))
-    out = F.when(F.col("__why").isNull(), F.col("__one")).when(F.col("fault").isNull(), F.col("__two")).otherwise(s)
-    return df.withColumn(into, out).drop("__one", "__two", "__why")
+    scratch = Scratch(df.sparkSession, "gate")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (into, "fault")]
+    one, why, two, left = free([*df.columns, into, "fault"], "one", "why", "two", "left")
+    s = F.col(f"`{source}`")
+    passed = df.withColumn(one, T.without_thoughts(first(s))).withColumn(why, F.when(s.isNotNull(), F.coalesce(T.translation_fault(s, F.col(one)), F.when(F.col(one).isNull(), "placeholder"))))
+    passed = scratch.write(passed, "first")
+    refused = passed.where(F.col(why).isNotNull()).withColumn(two, T.without_thoughts(retry(s, F.col(why))))
+    refused = refused.withColumn(left, F.coalesce(T.translation_fault(s, F.col(two)), F.when(F.col(two).isNull(), F.col(why))))
+    refused = scratch.write(refused, "second")
+    fine = passed.where(F.col(why).isNull()).select(*kept, F.col(one).alias(into), F.lit(None).cast("string").alias("fault"))
+    return fine.unionByName(refused.select(*kept, F.when(F.col(left).isNull(), F.col(two)).otherwise(s).alias(into), F.col(left).alias("fault")))
 
 
 def chat_examples(df: DataFrame, system: str, *, question: list[str], answer: list[str], fen: str | None = None, into: str = "messages") -> DataFrame:

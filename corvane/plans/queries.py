@@ -9,6 +9,10 @@ from corvane.chess.position import START
 from corvane.functions import engine
 from corvane.functions import text as T
 from corvane.operators import curate, evaluate, prompts, sampling, translate, validate
+from corvane.operators.memory import TranslationMemory
+from corvane.operators.memory import key as memory_key
+from corvane.sources.ordinals import numbered
+from corvane.sources.scratch import Scratch
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -160,6 +164,25 @@ def translated_texts(spark, d):
     return out.select("conv_id", "turn", F.md5("text").alias("digest"))
 
 
+def staged_translation(spark, d):
+    """Stand-ins for a translator: the first pass leaves some texts as they are, the second leaves fewer. The second half
+    of the turns meets the memory that the first half's left."""
+    turns = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    first = lambda t: F.when(F.length(t) % 4 > 0, F.reverse(t)).otherwise(t)
+    again = lambda t, why: F.when(F.length(t) % 8 > 0, F.concat(F.lit("> "), F.reverse(t))).otherwise(t)
+    known = TranslationMemory(spark, Scratch(spark, "memory").path("texts"))
+    halves = [translate.translated_with_texts(turns.where(F.col("conv_id") % 2 == k), first, ["text"], retry=again, memory=known, fen=None, terms={}, variants={})[0] for k in (0, 1)]
+    fault = known.lookup(known.entries().select("key").distinct()).select("key", "fault")
+    out = turns.select("conv_id", "turn", memory_key(F.col("text")).alias("key")).join(fault, "key", "left").drop("key")
+    done = halves[0].unionByName(halves[1]).select("conv_id", "turn", F.md5("text").alias("digest"))
+    return done.join(out, ["conv_id", "turn"])
+
+
+def ordinals_of_rows(spark, d):
+    rows = numbered(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+    return rows.select("doc_id", "ordinal")
+
+
 def facts_prompts(spark, d):
     """Prompts of facts that are made of a document's words."""
     docs = _t(spark, d, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "").alias("w"), "n_chars", "lang")
@@ -216,7 +239,7 @@ def chess_facts(spark, d):
 QUERIES = {f.__name__: f for f in (
     curation_report, english_runs, distinct_transform, price_distribution, round_robin, test_train_split, split_leaks, least_filled, accuracy_slices, claims_report, rater_kappa, rater_agreement,
     length_ranks, chat_history, chat_examples, first_fine_answer, shared_with_benchmark, event_fields, term_fold, translation_gate, fen_material, chess_facts,
-    record_validation, translated_texts, facts_prompts, balanced_order, rating_forms, rl_prompts, engine_levels,
+    record_validation, translated_texts, staged_translation, ordinals_of_rows, facts_prompts, balanced_order, rating_forms, rl_prompts, engine_levels,
 )}
 FLAGSHIP = "curation_report"
 
@@ -249,6 +272,8 @@ def _english(name: str, rows: str) -> str:
 _MOVES = "CASE WHEN len({0}) = 0 THEN 'không có' WHEN len({0}) > {1} THEN array_to_string({0}[1:{1}], ', ') || ', ... (tổng ' || len({0}) || ')' ELSE array_to_string({0}, ', ') END"
 _PIECES = "CASE lower(left(x, 1)) WHEN 'p' THEN 'tốt' WHEN 'n' THEN 'mã' WHEN 'b' THEN 'tượng' WHEN 'r' THEN 'xe' WHEN 'q' THEN 'hậu' ELSE 'vua' END || ' ' || CASE WHEN left(x, 1) = upper(left(x, 1)) THEN 'Trắng' ELSE 'Đen' END || ' ở ' || lower(left(x, 2))"
 _BUCKET = "(floor({0} / {1}) * {1})::BIGINT"
+#: Faults f1 and f2 of a first and a second translation (one, two) of src, with its placeholders and colours.
+_FAULTS = ", ".join(f"CASE WHEN ps <> regexp_extract_all({c}, '<[MFN][0-9]+>') THEN 'placeholder' WHEN src = {c} OR {r} >= 8 THEN 'untranslated' WHEN length(src) >= 200 AND length({c}) / length(src) < 0.7 THEN 'truncated' WHEN (nw >= 2 AND NOT contains(lower({c}), 'trắng')) OR (nb >= 2 AND NOT contains(lower({c}), 'đen')) THEN 'colours' END AS {k}" for c, r, k in (("one", "r1", "f1"), ("two", "r2", "f2")))
 ORACLE_SQL = {
     "curation_report": f"""WITH {_RUNS}, r AS (SELECT d.doc_id, list_filter([CASE WHEN length(coalesce(text, '')) < 500 THEN 'short' END, CASE WHEN regexp_matches(coalesce(text, ''), '[A-Za-z0-9]{{32}}') THEN 'secret' END,
         CASE WHEN coalesce(run, 0) >= 8 THEN 'english_chunk' END, CASE WHEN regexp_matches(coalesce(text, ''), '<[MFN][0-9]+>') THEN 'leftover_placeholder' END], lambda x: x IS NOT NULL) AS why FROM documents d LEFT JOIN best USING (doc_id)),
@@ -290,7 +315,7 @@ ORACLE_SQL = {
         x1 AS (SELECT doc_id, one AS text FROM o), x2 AS (SELECT doc_id, two AS text FROM o), {_english("e1", "x1")}, {_english("e2", "x2")},
         g AS (SELECT o.*, coalesce(e1.run, 0) AS r1, coalesce(e2.run, 0) AS r2, regexp_extract_all(src, '<[MFN][0-9]+>') AS ps,
               len(regexp_extract_all(src, '(?i)\bwhite\b')) AS nw, len(regexp_extract_all(src, '(?i)\bblack\b')) AS nb FROM o LEFT JOIN e1 USING (doc_id) LEFT JOIN e2 USING (doc_id)),
-        f AS (SELECT doc_id, {", ".join(f"CASE WHEN ps <> regexp_extract_all({c}, '<[MFN][0-9]+>') THEN 'placeholder' WHEN src = {c} OR {r} >= 8 THEN 'untranslated' WHEN length(src) >= 200 AND length({c}) / length(src) < 0.7 THEN 'truncated' WHEN (nw >= 2 AND NOT contains(lower({c}), 'trắng')) OR (nb >= 2 AND NOT contains(lower({c}), 'đen')) THEN 'colours' END AS {k}" for c, r, k in (("one", "r1", "f1"), ("two", "r2", "f2")))} FROM g)
+        f AS (SELECT doc_id, {_FAULTS} FROM g)
         SELECT CASE WHEN f1 IS NULL THEN 'kept' ELSE coalesce(f2, 'kept') END AS fault, count(*) AS n FROM f GROUP BY 1""",
     "least_filled": f"""WITH RECURSIVE r AS (SELECT doc_id, {_BUCKET.format('n_chars', 1000)}::VARCHAR || '-' || ({_BUCKET.format('n_chars', 1000)} + 999)::VARCHAR AS bucket, list_sort([lang, source], 'ASC', 'NULLS LAST') AS themes, row_number() OVER (PARTITION BY {_BUCKET.format('n_chars', 1000)} ORDER BY doc_id) AS k FROM documents),
         s AS (SELECT bucket, 0::BIGINT AS k, MAP {{'': 0}} AS c, NULL::BIGINT AS doc_id, NULL::VARCHAR AS theme, false AS ok FROM (SELECT DISTINCT bucket FROM r)
@@ -304,6 +329,13 @@ ORACLE_SQL = {
               CASE WHEN len(v) > 0 THEN {{'r': 'glossary', 'd': array_to_string(list_sort(list_distinct(v)), ', ')}} END], lambda x: x IS NOT NULL) AS g FROM p)
         SELECT doc_id, CASE WHEN ok THEN array_to_string(list_transform(g, lambda x: x.r), ',') ELSE 'missing_fen' END AS reasons, md5(CASE WHEN ok THEN array_to_string(list_transform(g, lambda x: x.d), '|') ELSE 'position: none' END) AS digest FROM w""",
     "translated_texts": "SELECT conv_id, turn, md5(text || ' #') AS digest FROM conversations",
+    "staged_translation": rf"""WITH s AS (SELECT DISTINCT text AS src FROM conversations WHERE text IS NOT NULL), t AS (SELECT row_number() OVER (ORDER BY src) AS doc_id, src FROM s),
+        o AS (SELECT doc_id, src, {", ".join(rf"regexp_replace(regexp_replace({c}, '(?is)<think>.*?</think>', '', 'g'), '^\s+|\s+$', '', 'g') AS {k}" for k, c in (("one", "CASE WHEN length(src) % 4 > 0 THEN reverse(src) ELSE src END"), ("two", "CASE WHEN length(src) % 8 > 0 THEN '> ' || reverse(src) ELSE src END")))} FROM t),
+        x1 AS (SELECT doc_id, one AS text FROM o), x2 AS (SELECT doc_id, two AS text FROM o), {_english("e1", "x1")}, {_english("e2", "x2")},
+        g AS (SELECT o.*, coalesce(e1.run, 0) AS r1, coalesce(e2.run, 0) AS r2, regexp_extract_all(src, '<[MFN][0-9]+>') AS ps, len(regexp_extract_all(src, '(?i)\bwhite\b')) AS nw, len(regexp_extract_all(src, '(?i)\bblack\b')) AS nb FROM o LEFT JOIN e1 USING (doc_id) LEFT JOIN e2 USING (doc_id)),
+        f AS (SELECT src, one, two, {_FAULTS} FROM g)
+        SELECT conv_id, turn, md5(CASE WHEN f1 IS NULL THEN one WHEN f2 IS NULL THEN two ELSE text END) AS digest, CASE WHEN f1 IS NOT NULL THEN f2 END AS fault FROM conversations LEFT JOIN f ON text = src""",
+    "ordinals_of_rows": "SELECT doc_id, row_number() OVER () - 1 AS ordinal FROM documents",
     "facts_prompts": rf"""WITH d AS (SELECT doc_id, n_chars, lang, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	
 
 ]+'), lambda w: w <> '') AS w FROM documents),
