@@ -10,11 +10,18 @@ from pyspark.sql import functions as F
 
 from corvane.chess import udf as K
 from corvane.functions import text as T
+from corvane.functions.columns import free
 from corvane.operators import evaluate
 from corvane.operators.claims import with_claims
 from corvane.operators.curate import through_distinct
 from corvane.operators.positions import with_facts
-from corvane.operators.prompts import facts_prompt, puzzle_prompt
+from corvane.operators.prompts import facts_prompt, facts_text, prompt, puzzle_prompt
+from corvane.operators.prompts import fallback as fallback_text
+from corvane.sources.scratch import Scratch
+
+#: Attempts after the first, what each adds to the temperature, and what the prompt then adds.
+REGENERATIONS, STEP = 2, 0.1
+AGAIN = "\nLƯU Ý: câu trả lời trước có nước đi không hợp lệ. Chỉ dùng nước trong danh sách nước đi hợp lệ ở trên."
 
 #: A predictor answers a batch of prompts; ``load`` makes it once for each task, where a model would be loaded.
 Predictor = Callable[[list[str]], list[str]]
@@ -30,22 +37,62 @@ def predicted(rows: DataFrame, load: Callable[[], Predictor], prompt: Column, in
 
     The predictor is loaded once a task and gets ``batch`` prompts at a time."""
 
-    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    @F.pandas_udf("string")
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = None
-        for frame in frames:
+        for asked in batches:
             model = model or load()
             out: list[str] = []
-            asked = frame["__prompt"].tolist()
-            for i in range(0, len(asked), batch):
-                got = model(asked[i : i + batch])
-                if len(got) != len(asked[i : i + batch]):
-                    raise RuntimeError(f"the predictor returned {len(got)} of {len(asked[i:i + batch])} answers")
+            given = asked.tolist()
+            for i in range(0, len(given), batch):
+                got = model(given[i : i + batch])
+                if len(got) != len(given[i : i + batch]):
+                    raise RuntimeError(f"the predictor returned {len(got)} of {len(given[i:i + batch])} answers")
                 out += got
-            yield frame.drop(columns="__prompt").assign(**{into: out})
-
-    asked = rows.withColumn("__prompt", prompt)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{into}` string"
-    return asked.mapInPandas(answer, schema)
+            yield pd.Series(out, dtype=object)
+
+    return rows.withColumn(into, answer.asNondeterministic()(prompt))  # never asked twice for one row
+
+
+def regenerated(
+    rows: DataFrame, load: Callable[[float], Predictor], prompt: Callable[[int, Column], Column], fine: Callable[[Column], Column], fallback: Column | str, *, regenerations: int = REGENERATIONS,
+    temperature: float = 0.0, step: float = STEP, into: str = "answer", batch: int = 8,
+) -> DataFrame:
+    """``rows`` with an answer that is ``fine``, the attempt it came with (from 0) and the temperature; rows of which no
+    attempt is fine get ``fallback``, with attempt and temperature null.
+
+    In rounds over a shrinking frame: each asks only for the rows that no earlier round answered well, at a temperature
+    that grows by ``step``. ``prompt`` gets the attempt and the last text, null at first, and may use the rows' columns;
+    ``load(temperature)`` makes the predictor of a round. Each round is written once, with its texts and verdicts, so that
+    no model is asked twice; rounds end when no row is left, or after ``regenerations`` more than the first.
+    """
+    scratch = Scratch(rows.sparkSession, "rounds")
+    own = [c for c in rows.columns if c not in (into, "attempt", "temperature")]
+    last, text, ok = free([*rows.columns, into, "attempt", "temperature"], "last", "text", "ok")
+    done = lambda df, answer, attempt, heat: df.select(*[F.col(f"`{c}`") for c in own], answer.alias(into), F.lit(attempt).cast("int").alias("attempt"), F.lit(heat).cast("double").alias("temperature"))
+    left = rows.select(*[F.col(f"`{c}`") for c in own]).withColumn(last, F.lit(None).cast("string"))
+    out = None
+    for attempt in range(regenerations + 1):
+        heat = round(temperature + step * attempt, 9)
+        told = scratch.write(predicted(left, lambda heat=heat: load(heat), prompt(attempt, F.col(last)), text, batch=batch), f"told{attempt}")
+        told = scratch.write(told.withColumn(ok, F.coalesce(fine(F.col(text)), F.lit(False))), f"round{attempt}")
+        scratch.drop(f"told{attempt}")
+        good = done(told.where(F.col(ok)), F.col(text), attempt, heat)
+        out = good if out is None else out.unionByName(good)
+        left = told.where(~F.col(ok)).drop(last, ok).withColumnRenamed(text, last)
+        if attempt < regenerations and left.isEmpty():
+            return out
+    return out.unionByName(done(left, F.lit(fallback) if isinstance(fallback, str) else fallback, None, None))
+
+
+def guarded(rows: DataFrame, load: Callable[[float], Predictor], *, fen: str = "fen", question: str = "question", regenerations: int = REGENERATIONS, temperature: float = 0.0) -> DataFrame:
+    """``rows`` (a position and a question) with an answer of which every move is legal, by ``regenerated``. The prompt
+    tells the facts of the position, and from the second attempt on that the last answer had a move that is not legal;
+    the fallback tells facts only. Rows of what is no position are left out."""
+    known = Scratch(rows.sparkSession, "facts").write(with_facts(playable(rows, fen=fen)), "rows")
+    ask = lambda attempt, last: F.concat(prompt(facts_text(F.col("facts")), F.col(question)), F.lit(AGAIN if attempt else ""))
+    return regenerated(known, load, ask, lambda text: K.guard(text, F.col(fen))["ok"], fallback_text(F.col("facts")), regenerations=regenerations, temperature=temperature).drop("facts")
 
 
 def playable(puzzles: DataFrame, *, fen: str = "fen") -> DataFrame:

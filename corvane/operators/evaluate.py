@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from corvane.sources.scratch import Scratch
 
+#: Distinct values of a range that one task ranks, about.
+RANGE = 100_000
+
 
 def accuracy(results: DataFrame, slices: list[str], correct: str = "correct", legal: str = "legal") -> DataFrame:
     """Overall and for each value of each slice: slice, value, n, hits, accuracy, legal_rate (4 digits)."""
@@ -55,17 +58,23 @@ def agreement(scores: DataFrame, raters: int) -> DataFrame:
     return means.select("axis", "metric", "who", "value", "n").unionByName(long.select("axis", "metric", "who", "value", "n"))
 
 
-def nearest_rank(df: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99), *, ranges: int = 64) -> DataFrame:
+def nearest_rank(df: DataFrame, column: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99), *, ranges: int | None = None) -> DataFrame:
     """q and the value of rank min(n - 1, floor(q * n)) from 0 in ascending order; q 1.0 is the greatest. Nulls do not
     count; without values there are no rows.
 
-    Values are counted and cut into ranges of about equal numbers of distinct ones; the ranges' totals tell which hold
-    the ranks, and only those are ranked.
+    Values are counted and cut into ranges of about equal numbers of distinct ones (one for each ``RANGE`` of them); the
+    ranges' totals tell which hold the ranks, and only those are ranked. Up to ``RANGE`` distinct values are one range.
     """
     spark = df.sparkSession
+    scratch = Scratch(spark, "ranks")
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
-    counts = counts.repartitionByRange(ranges, "v").withColumn("p", F.spark_partition_id())
-    counts = Scratch(spark, "ranks").write(counts, "counts")
+    counts = scratch.write(counts, "values")
+    if ranges is None:
+        ranges = 1 + counts.count() // RANGE
+    if ranges > 1:
+        counts = scratch.write(counts.repartitionByRange(ranges, "v").withColumn("p", F.spark_partition_id()), "counts")
+    else:
+        counts = counts.withColumn("p", F.lit(0))
     totals = counts.groupBy("p").agg(F.sum("k").alias("k")).orderBy("p").collect()  # a row for each range
     n, before, wanted = sum(t["k"] for t in totals), 0, []
     ranks = [(float(q), min(n - 1, int(q * n))) for q in (*shares, 1.0)] if n else []

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.functions.columns import free
 from corvane.sources.scratch import Scratch
 
 #: Seed, width of a rating bucket, and names of what has no theme or bucket.
 SEED, WIDTH, UNTAGGED, NO_BUCKET = 20240911, 400, "untagged", "?"
+#: Rows of a round of greedy assignment, and rows from the driver that are broadcast at most.
+HEAD, FEW = 100_000, 100_000
 
 
 def rating_bucket(rating: Column, width: int = WIDTH) -> Column:
@@ -47,8 +50,9 @@ def test_then_train(df: DataFrame, cells: list[str], key: str, test: int, train:
 def balanced_order(df: DataFrame, key: str, size: int | None = None, *, theme: str = "primary_theme", bucket: str = "rating_bucket", seed: int = SEED) -> DataFrame:
     """``round_robin`` over themes and buckets; rows without one are in the cells ``untagged`` and ``?``."""
     filled = lambda c, none: F.coalesce(F.when(F.col(c) != "", F.col(c).cast("string")), F.lit(none))
-    cells = df.withColumns({"__theme": filled(theme, UNTAGGED), "__bucket": filled(bucket, NO_BUCKET)})
-    return round_robin(cells, ["__theme", "__bucket"], key, size, seed=seed).drop("__theme", "__bucket")
+    t, b = free(df, "theme", "bucket")
+    cells = df.withColumns({t: filled(theme, UNTAGGED), b: filled(bucket, NO_BUCKET)})
+    return round_robin(cells, [t, b], key, size, seed=seed).drop(t, b)
 
 
 def leaks(a: DataFrame, b: DataFrame, key: str) -> int:
@@ -62,36 +66,74 @@ def distribution(df: DataFrame, by: str) -> DataFrame:
     return n.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def least_filled(df: DataFrame, bucket: str, themes: str, key: str, order: str, cap: int) -> DataFrame:
-    """Greedy assignment in ``order``: each row goes to its theme with the fewest rows so far in its bucket (ties by
-    name, ``untagged`` without themes), unless that cell has ``cap`` rows; a key that was accepted is not taken again.
+class Cells:
+    """Greedy assignment of rows to cells: the state between rounds, which grows with the cells, not with the rows."""
 
-    Adds ``primary_theme`` and ``status`` (accepted, duplicate, cell_full). The counts of a bucket are independent of
-    others, so buckets run apart. A task streams its sorted rows, ids and themes only, and holds the counts and the
-    accepted keys of one bucket: at most ``cap`` for each theme.
+    def __init__(self, cap: int):
+        self.cap = cap
+        self.count: dict[tuple, int] = {}
+        self.themes: dict[object, set[str]] = {}
+        self.taken: dict[object, tuple] = {}
+
+    def take(self, key, bucket, themes: list[str], order) -> None:
+        """The row's theme with the fewest rows so far in its bucket, ties by name, gets it if it has room and the key is new."""
+        theme = min(themes, key=lambda t: (self.count.get((bucket, t), 0), t))
+        if key not in self.taken and self.count.get((bucket, theme), 0) < self.cap:
+            self.count[bucket, theme] = self.count.get((bucket, theme), 0) + 1
+            self.taken[key] = (theme, order)
+
+    def full(self) -> dict:
+        """The full themes of each bucket that has one."""
+        out: dict = {}
+        for (bucket, theme), n in self.count.items():
+            if n >= self.cap:
+                out.setdefault(bucket, []).append(theme)
+        return out
+
+
+def _small(spark, rows: list, schema: str) -> DataFrame:
+    """A frame of rows that came from the driver, broadcast up to a number of them."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= FEW else df
+
+
+def least_filled(df: DataFrame, bucket: str, themes: str, key: str, order: str, cap: int, *, head: int = HEAD) -> DataFrame:
+    """Greedy assignment in ``order`` (unique): each row goes to its theme with the fewest rows so far in its bucket (ties
+    by name, ``untagged`` without themes), unless that cell has ``cap`` rows or the key was accepted before, in whatever
+    bucket. Null themes do not count; null keys are one key.
+
+    Adds ``primary_theme`` and ``status`` (accepted, duplicate, cell_full). Rounds: the first ``head`` rows in order that
+    may still be accepted are assigned one after another; then cells that are full and keys that are taken go back as
+    small tables, and rows of which all cells are full, or the key is taken, are no candidates any more. So at most the
+    accepted rows, ``cap`` for each cell, and a head of others pass through the driver, as ids and themes; no task holds
+    a bucket, and all other rows are settled in columns at the end.
     """
+    spark = df.sparkSession
     kind = dict(df.dtypes)
-
-    def fill(frames):
-        now, count, taken = object(), {}, set()
-        for pdf in frames:
-            given, status = [], []
-            for b, k, own in zip(pdf[bucket], pdf[key], pdf[themes]):
-                if b != now:
-                    now, count, taken = b, {}, set()
-                theme = min(own if own is not None and len(own) else [UNTAGGED], key=lambda t: (count.get(t, 0), t))
-                fate = "duplicate" if k in taken else "cell_full" if count.get(theme, 0) >= cap else "accepted"
-                if fate == "accepted":
-                    count[theme] = count.get(theme, 0) + 1
-                    taken.add(k)
-                given.append(theme if fate == "accepted" else None)
-                status.append(fate)
-            yield pdf[[bucket, key, "__order"]].assign(primary_theme=given, status=status)
-
-    slim = df.select(bucket, key, themes, F.col(order).alias("__order"))
-    schema = f"`{bucket}` {kind[bucket]}, `{key}` {kind[key]}, __order {kind[order]}, primary_theme string, status string"
-    rows = slim.repartition(F.col(bucket)).sortWithinPartitions(bucket, "__order")
-    return rows.mapInPandas(fill, schema).withColumnRenamed("__order", order)
+    b, k, t, o = "bucket", "key", "themes", "at"
+    own = F.filter(F.coalesce(F.col(f"`{themes}`"), F.array().cast("array<string>")), lambda x: x.isNotNull())
+    slim = df.select(F.col(f"`{bucket}`").alias(b), F.col(f"`{key}`").alias(k), F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(UNTAGGED))).alias(t), F.col(f"`{order}`").alias(o))
+    slim = Scratch(spark, "cells").write(slim, "rows")
+    cells, last = Cells(cap), None
+    taken_schema, full_schema = f"k {kind[key]}, theme string, since {kind[order]}", f"b {kind[bucket]}, full array<string>"
+    taken = lambda: _small(spark, [(key, *v) for key, v in cells.taken.items()], taken_schema)
+    while True:
+        left = slim if last is None else slim.where(F.col(o) > F.lit(last))
+        if full := cells.full():
+            left = left.join(_small(spark, list(full.items()), full_schema), F.col(b).eqNullSafe(F.col("b")), "left")
+            left = left.where(F.col("full").isNull() | (F.size(F.array_except(t, "full")) > 0)).select(b, k, t, o)
+        if cells.taken:
+            left = left.join(taken(), F.col(k).eqNullSafe(F.col("k")), "left_anti")
+        rows = left.orderBy(o).limit(head).collect()
+        for r in rows:
+            cells.take(r[k], r[b], r[t], r[o])
+        if len(rows) < head:
+            break
+        last = rows[-1][o]
+    out = slim.join(taken(), F.col(k).eqNullSafe(F.col("k")), "left")
+    accepted = F.coalesce(F.col(o) == F.col("since"), F.lit(False))
+    status = F.when(accepted, "accepted").when(F.col(o) > F.col("since"), "duplicate").otherwise("cell_full")
+    return out.select(F.col(b).alias(bucket), F.col(k).alias(key), F.col(o).alias(order), F.when(accepted, F.col("theme")).alias("primary_theme"), status.alias("status"))
 
 
 def balanced_sample(puzzles: DataFrame, order: str, train: int, test: int, *, per_cell: int | None = None, max_scan: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +141,8 @@ def balanced_sample(puzzles: DataFrame, order: str, train: int, test: int, *, pe
     ``split``, and a tally (reason, n) of the rows that were passed over.
 
     The first ``max_scan`` rows in ``order`` are looked at. Those with an error count under it; the others are assigned
-    to cells of at most ``per_cell`` rows (a hundredth of the sample, at least one), then split: test first.
+    to cells of at most ``per_cell`` rows (a hundredth of the sample, at least one), each id once, whatever its buckets,
+    then split: test first.
     """
     if max_scan is not None:
         puzzles = puzzles.orderBy(order).limit(max_scan)

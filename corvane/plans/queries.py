@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.chess.position import START
 from corvane.functions import engine
 from corvane.functions import text as T
-from corvane.operators import curate, evaluate, prompts, sampling, translate, validate
+from corvane.operators import answers, curate, evaluate, prompts, sampling, translate, validate
 from corvane.operators.memory import TranslationMemory
 from corvane.operators.memory import key as memory_key
 from corvane.sources.ordinals import numbered
@@ -69,6 +71,20 @@ def least_filled(spark, d):
     return sampling.least_filled(docs, "bucket", "themes", "doc_id", "at", 5).select("doc_id", "bucket", "primary_theme", "status")
 
 
+def filled_with_repeats(spark, d):
+    """Every id comes twice, often in two buckets, and is accepted once."""
+    docs = _t(spark, d, "documents").select(F.floor(F.col("doc_id") / 2).alias("id"), sampling.rating_bucket(F.col("n_chars"), 1000).alias("bucket"), F.array_sort(F.array("lang", "source")).alias("themes"), F.col("doc_id").alias("at"))
+    return sampling.least_filled(docs, "bucket", "themes", "id", "at", 7)
+
+
+def regenerated_answers(spark, d):
+    """A stand-in for a model: digests of the text, then of the last answer; half of the answers pass."""
+    docs = _t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    load = lambda heat: lambda asked: [hashlib.md5(x.encode()).hexdigest() for x in asked]
+    out = answers.regenerated(docs, load, lambda attempt, last: F.coalesce(last, F.col("text")), lambda x: x < "8", "none")
+    return out.select("doc_id", "answer", "attempt", "temperature")
+
+
 def accuracy_slices(spark, d):
     rows = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
     rows = rows.select("lang", "source", ((F.col("n_chars") > 600).cast("int") == F.col("quality")).alias("correct"), (F.col("toxic") == 0).alias("legal"))
@@ -237,7 +253,7 @@ def chess_facts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    curation_report, english_runs, distinct_transform, price_distribution, round_robin, test_train_split, split_leaks, least_filled, accuracy_slices, claims_report, rater_kappa, rater_agreement,
+    curation_report, english_runs, distinct_transform, price_distribution, round_robin, test_train_split, split_leaks, least_filled, filled_with_repeats, regenerated_answers, accuracy_slices, claims_report, rater_kappa, rater_agreement,
     length_ranks, chat_history, chat_examples, first_fine_answer, shared_with_benchmark, event_fields, term_fold, translation_gate, fen_material, chess_facts,
     record_validation, translated_texts, staged_translation, ordinals_of_rows, facts_prompts, balanced_order, rating_forms, rl_prompts, engine_levels,
 )}
@@ -322,6 +338,15 @@ ORACLE_SQL = {
               UNION ALL SELECT bucket, k, CASE WHEN b.n < 5 THEN map_concat(c, MAP {{b.t: b.n + 1}}) ELSE c END, doc_id, b.t, b.n < 5
               FROM (SELECT r.bucket, r.k, s.c, r.doc_id, list_sort(list_transform(r.themes, lambda t: {{'n': coalesce(s.c[t], 0), 't': t}}))[1] AS b FROM s JOIN r ON r.bucket = s.bucket AND r.k = s.k + 1))
         SELECT doc_id, bucket, CASE WHEN ok THEN theme END AS primary_theme, CASE WHEN ok THEN 'accepted' ELSE 'cell_full' END AS status FROM s WHERE k > 0""",
+    "filled_with_repeats": f"""WITH RECURSIVE r AS (SELECT doc_id // 2 AS id, doc_id, {_BUCKET.format('n_chars', 1000)}::VARCHAR || '-' || ({_BUCKET.format('n_chars', 1000)} + 999)::VARCHAR AS bucket, list_sort([lang, source], 'ASC', 'NULLS LAST') AS themes, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+        s AS (SELECT 0::BIGINT AS k, MAP {{'': 0}} AS c, []::BIGINT[] AS taken, NULL::BIGINT AS id, NULL::BIGINT AS doc_id, NULL::VARCHAR AS bucket, NULL::VARCHAR AS theme, NULL::VARCHAR AS status
+              UNION ALL SELECT k, CASE WHEN st = 'accepted' THEN map_concat(c, MAP {{bucket || '/' || b.t: b.n + 1}}) ELSE c END, CASE WHEN st = 'accepted' THEN list_append(taken, id) ELSE taken END, id, doc_id, bucket, b.t, st
+              FROM (SELECT *, CASE WHEN list_contains(taken, id) THEN 'duplicate' WHEN b.n >= 7 THEN 'cell_full' ELSE 'accepted' END AS st
+              FROM (SELECT r.k, s.c, s.taken, r.id, r.doc_id, r.bucket, list_sort(list_transform(r.themes, lambda t: {{'n': coalesce(s.c[r.bucket || '/' || t], 0), 't': t}}))[1] AS b FROM s JOIN r ON r.k = s.k + 1)))
+        SELECT bucket, id, doc_id AS at, CASE WHEN status = 'accepted' THEN theme END AS primary_theme, status FROM s WHERE k > 0""",
+    "regenerated_answers": """WITH a AS (SELECT doc_id, md5(coalesce(text, '')) AS x, md5(md5(coalesce(text, ''))) AS y, md5(md5(md5(coalesce(text, '')))) AS z FROM documents)
+        SELECT doc_id, CASE WHEN x < '8' THEN x WHEN y < '8' THEN y WHEN z < '8' THEN z ELSE 'none' END AS answer, CASE WHEN x < '8' THEN 0 WHEN y < '8' THEN 1 WHEN z < '8' THEN 2 END::INT AS attempt,
+               CASE WHEN x < '8' THEN 0.0 WHEN y < '8' THEN 0.1 WHEN z < '8' THEN 0.2 END::DOUBLE AS temperature FROM a""",
     "record_validation": rf"""WITH {_RUNS}, d AS (SELECT doc_id, source IS NOT NULL AND n_chars % 3 > 0 AS ok, coalesce(text, '') AS t FROM documents),
         p AS (SELECT d.*, coalesce(run, 0) AS run, list_sort(list_distinct(regexp_extract_all(t, '<[MFN][0-9]+>'))) AS ph,
               list_concat({", ".join(rf"list_transform(regexp_extract_all(regexp_replace(t, '([^{_W}])', '\1\1', 'g'), '(?i)(?:^|[^{_W}])({term.replace(' ', r'\s+')})(?:$|[^{_W}])', 1), lambda x: regexp_replace(x, '(\s)\s', '\1', 'g') || ' -> {want}')" for term, want in (("in the", "yyy"), ("on", "xxx"), ("that", "zzz"), ("is", "xxx")))}) AS v FROM d LEFT JOIN best USING (doc_id)),

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.sources.scratch import Scratch
+
 
 def _files(spark: SparkSession, path: str) -> list[str] | None:
     """Names of the files in a folder and its subfolders, sorted; None for a file."""
@@ -101,6 +103,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_clean(df: DataFrame, path: str) -> bool:
     """Parquet, or JSON lines for a path that ends in .jsonl; no rows write nothing and return False."""
+    df = Scratch(df.sparkSession, "clean").write(df, "rows")  # worked out once, for the look and for the copy
     if df.isEmpty():
         return False
     write_jsonl(df, path) if path.endswith(".jsonl") else df.write.mode("overwrite").parquet(path)
