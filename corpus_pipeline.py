@@ -33,21 +33,24 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Commits all rows to target-sized shards and returns them, with their shard, from the newest version."""
-    return sharding.shard_documents(docs, Scratch(spark, "corpus").path("store")).read()
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str, store: str | None = None) -> DataFrame:
+    """Commits all rows to target-sized shards in the folder ``store`` and returns them from the newest version, with their
+    shard in a column that no other has as its name. Without a folder the shards go when the application ends."""
+    return sharding.shard_documents(docs, store or Scratch(spark, "corpus").path("store")).read()
 
 
 STAGES = [("quality", good_quality), ("near duplicates", one_of_each_group), ("decontamination", without_benchmark), ("mixing", mixed), ("sharding", sharded)]
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents; each one's result is written and read again."""
+def run(spark: SparkSession, sf_dir: str, store: str | None = None) -> DataFrame:
+    """Applies all stages to the documents; each one's result is written and read again. The corpus stays in ``store``, if
+    that is given: a folder without a store."""
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = stage(spark, docs, sf_dir, store) if stage is sharded else stage(spark, docs, sf_dir)
+        docs = scratch.write(docs, name.replace(" ", "-"))
         if k > 1:
             scratch.drop(STAGES[k - 2][0].replace(" ", "-"))
     return docs
