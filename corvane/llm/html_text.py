@@ -1,11 +1,15 @@
 """Main text of web pages from the events of the standard library's streaming HTML parser.
 
 Parser events give lines (the text of one block), each with its characters outside links, its tags and its container.
-The text-to-tag ratios of the lines are smoothed with a Gaussian and split into two clusters by a threshold. The lines
-above it select the content: its root is the innermost container that holds them all, and containers within the root
-that have no such line go if they are mostly links or stand at page level. Elements, roles and whole class or id names
-that suggest menus, footers, adverts, forms or comments are a second signal: they divide a line's ratio, unless the
-element wraps the content.
+The text-to-tag ratios of the lines are smoothed with a Gaussian and split into two clusters by a threshold. Lines weigh
+by their smoothed ratio and length, and the content's region is found from the page inwards: a container is entered
+while it holds all but a tenth of the weight. Within the region parts without a line above the threshold go if they are
+mostly links, and at page level anyway; lines of at least half the threshold that stand beside the region, in its wrapper
+itself, join it.
+
+Names and kinds of elements break ties only. Weight in menus, footers, adverts, forms or comments does not count beside
+other containers, and an article or main element is entered though up to ``TIE`` times its weight stands beside it.
+Within the region only forms, menus, asides and containers named for adverts, comments, sharing and the like go.
 """
 
 from __future__ import annotations
@@ -35,11 +39,15 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = frozenset("p li dt dd tr pre figcaption address summary caption hr option legend".split()) | CONTAINER | HEADING
 SPACE = frozenset(("br", "td", "th"))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: What the ratio of a line in a suspect element is multiplied by.
-DAMP = 0.02
+#: A container is entered if what stands beside it weighs that much of it at most; beside an article or main element
+#: that holds the weight of all such, up to so many times its weight.
+REST, TIE = 0.1, 64
 _NOISE = re.compile(
-    r"(?:ads?|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|footer\w*|masthead|topbar|comments?|commentlist|replies|respond|disqus\w*|cookies?|consent|gdpr|notices?|notifications?|alerts?|newsletter\w*|subscri\w+|signup|share|sharing|social\w*|related\w*|recommend\w*|popups?|modal|overlay|toolbar|paginat\w+|pager|widgets?|copyright|login|skiplinks?|outbrain|taboola)"
+    r"(?:ads?|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|foot|footer\w*|masthead|topbar|comments?|commentlist|discussion\w*|replies|respond|disqus\w*|cookies?|consent|gdpr|notices?|notifications?|alerts?|newsletter\w*|subscri\w+|signup|share|sharing|social\w*|related\w*|recommend\w*|popups?|modal|overlay|toolbar|paginat\w+|pager|widgets?|copyright|login|skiplinks?|outbrain|taboola)"
 )
+#: Names that are never the content's own, and words that may stand beside them in a name.
+_STRONG = re.compile(r"(?:ads?|adv|advert\w*|adsense|sponsor\w*|comments?|commentlist|discussions?|replies|respond|disqus\w*|cookies?|consent|gdpr|newsletter\w*|subscri\w+|signup|share|sharing|sharethis|addthis|breadcrumbs?|paginat\w+|pager|skiplinks?|outbrain|taboola)")
+_PLAIN = re.compile(r"(?:a|the|this|in|on|box|block|blocks|list|section|area|wrap|wrapper|container|content|inner|outer|holder|unit|slot|thread|form|bar|button|buttons|link|links|icon|icons|tools|social|post|page|entry|top|bottom|left|right|[a-z]?\d+)")
 _PAGE_HEAD = frozenset(("header", "site-header", "page-header", "siteheader", "pageheader"))
 _NOT = frozenset("has have no not with without is hide show".split())
 _HIDDEN = re.compile(r"display\s*:\s*none")
@@ -54,28 +62,37 @@ def names_noise(name: str, inside: bool) -> bool:
     return parts[0] not in _NOT and (bool(_NOISE.fullmatch("".join(parts))) or any(map(_NOISE.fullmatch, parts)))
 
 
-def _signs(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> tuple[bool, bool]:
-    """Of an element: whether it is not shown, and whether it is suspect."""
-    hidden, suspect = tag in SILENT, tag in SUSPECT or (tag == "header" and not inside)
+def names_strongly(name: str) -> bool:
+    """Whether a name stands for nothing but what an article itself does not have: adverts, comments, sharing, …."""
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    strong = [bool(_STRONG.fullmatch(x)) for x in parts]
+    return bool(_STRONG.fullmatch("".join(parts))) or (any(strong) and all(s or _PLAIN.fullmatch(x) for s, x in zip(strong, parts)))
+
+
+def _signs(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> tuple[bool, bool, bool]:
+    """Of an element: whether it is not shown, whether it is suspect, and whether it is so within content too."""
+    hidden, suspect, strong = tag in SILENT, tag in SUSPECT or (tag == "header" and not inside), tag in SUSPECT
     for name, value in attrs:
         value = (value or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
             hidden = hidden or tag not in ("html", "body")
         elif name == "role":
-            suspect = suspect or value in ROLES
+            suspect, strong = suspect or value in ROLES, strong or value in ROLES
         elif name in ("class", "id") and tag not in ("html", "body"):
             suspect = suspect or any(names_noise(n, inside) for n in value.split())
-    return hidden, suspect
+            strong = strong or (tag in CONTAINER and any(map(names_strongly, value.split())))
+    return hidden, suspect, strong
 
 
 class _Lines(HTMLParser):
     """Lines (text, tags in it, characters in links, container, whether a heading) and containers, of which number 0 is
-    the page: parent (always of a lower number), tag, whether suspect by its own signs, whether within content."""
+    the page: parent (always of a lower number), tag, whether suspect by its own signs, whether so within content too, and
+    whether within content."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.parent, self.tag, self.suspect, self.inside = [0], ["html"], [False], [False]
+        self.parent, self.tag, self.suspect, self.strong, self.inside = [0], ["html"], [False], [False], [False]
         self.open: list[tuple[str, int]] = [("", 0)]  # tag and container, -1 if it is not shown
         self.names: Counter[str] = Counter()
         self.silent = 0
@@ -98,7 +115,7 @@ class _Lines(HTMLParser):
             self.heading = tag in HEADING
         at = self.open[-1][1]
         inside = at >= 0 and self.inside[at]
-        hidden, suspect = _signs(tag, attrs, inside) if (attrs or tag in CONTAINER) and tag not in VOID else (False, False)
+        hidden, suspect, strong = _signs(tag, attrs, inside) if (attrs or tag in CONTAINER) and tag not in VOID else (False, False, False)
         if tag in CONTAINER or hidden or suspect:
             number = -1
             if self.silent or hidden:
@@ -108,6 +125,7 @@ class _Lines(HTMLParser):
                 self.parent.append(at)
                 self.tag.append(tag)
                 self.suspect.append(suspect)
+                self.strong.append(strong)
                 self.inside.append(inside or (tag in CONTENT and not suspect))
             self.open.append((tag, number))
             self.names[tag] += 1
@@ -177,10 +195,10 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def ratios(page: _Lines, suspect: list[bool]) -> list[float]:
-    """Text-to-tag ratio of each line, on a logarithmic scale, smoothed. Text in links does not count, and lines of
-    suspect elements count little, both before they are smoothed (for their neighbours) and after (for themselves)."""
-    own = [(1 - linked / len(text)) * (DAMP if suspect[c] else 1) for text, _, linked, c, _ in page.lines]
+def ratios(page: _Lines) -> list[float]:
+    """Text-to-tag ratio of each line, on a logarithmic scale, smoothed. Text in links does not count, before the lines
+    are smoothed (for their neighbours) and after (for themselves)."""
+    own = [1 - line[2] / len(line[0]) for line in page.lines]
     raw = [math.log1p(w * len(line[0]) / (1 + line[1])) for w, line in zip(own, page.lines)]
     return [w * v for w, v in zip(own, smoothed(raw))]
 
@@ -211,36 +229,63 @@ def suspects(page: _Lines) -> list[bool]:
     return out
 
 
+def region(page: _Lines, weight: list[float], above: list[bool], suspect: list[bool]) -> int:
+    """The container of the content, from the page inwards by the weight of lines that are not suspect: of those above
+    the threshold, but that an article's other lines count for a tie."""
+    parent, tag = page.parent, page.tag
+    fair = [0.0 if suspect[line[3]] else w for line, w in zip(page.lines, weight)]
+    high = _sums(page, [w if a else 0.0 for w, a in zip(fair, above)])
+    all_, own = _sums(page, fair), _sums(page, [w if page.inside[line[3]] else 0.0 for line, w in zip(page.lines, fair)])
+    children: list[list[int]] = [[] for _ in parent]
+    for c in range(1, len(parent)):
+        if all_[c] and tag[c] in ROOTS and not suspect[c]:
+            children[parent[c]].append(c)
+    root = 0
+    while children[root]:
+        articles = [c for c in children[root] if own[c] and not (page.inside[root])]
+        c = max(children[root], key=lambda c: (c in articles, own[c] if articles else high[c]))
+        if articles:  # all articles but a quarter, and no more than a tie beside them
+            enter = own[root] - own[c] <= own[c] / 4 and all_[root] - own[root] <= TIE * own[c]
+        else:
+            enter = high[root] - high[c] <= REST * high[c] and not (page.inside[root] and tag[c] not in CONTENT)
+        if not enter:
+            break
+        root = c
+    return root
+
+
 def content_lines(page: _Lines) -> list[int]:
     """Numbers of the lines of the content."""
     lines, parent = page.lines, page.parent
     suspect = suspects(page)
-    ratio = ratios(page, suspect)
+    ratio = ratios(page)
     cut = threshold(ratio)
     above = [r >= cut and r > 0 for r in ratio]
-    votes = _sums(page, [(len(line[0]) - line[2]) * a for line, a in zip(lines, above)])
-    if not votes[0] or all(suspect[line[3]] for line, a in zip(lines, above) if a):
+    weight = [(len(line[0]) - line[2]) * r for line, r in zip(lines, ratio)]
+    if not any(weight[i] and not suspect[line[3]] for i, line in enumerate(lines)):
         return []
-    root = max(c for c in range(len(votes)) if votes[c] == votes[0] and (page.tag[c] in ROOTS))
-    around = root
-    while around and page.tag[around] not in CONTENT:
-        around = parent[around]
-    root = around or root
+    root = region(page, weight, above, suspect)
+    votes = _sums(page, [float(a) for a in above])
     length, linked = _sums(page, [len(line[0]) for line in lines]), _sums(page, [line[2] for line in lines])
-    within, gone, top = [c == root for c in range(len(parent))], [False] * len(parent), page.tag[root] in ("html", "body")
+    top = page.tag[root] in ("html", "body")
+    within, gone = [c == root for c in range(len(parent))], [False] * len(parent)
     for c in range(root + 1, len(parent)):
         up = parent[c]
         within[c] = within[up]
-        bare = not votes[c] and not page.inside[c] and (2 * linked[c] > length[c] or (top and up == root))
-        gone[c] = gone[up] or bare
-    kept = []
-    for i, (text, _, in_links, c, _) in enumerate(lines):
-        if within[c] and not gone[c] and (above[i] or not suspect[c]) and (above[i] or page.inside[c] or in_links <= 0.7 * len(text)):
-            kept.append(i)
-    first = kept[0] if kept else 0
-    while first and lines[first - 1][4] and not suspect[lines[first - 1][3]]:  # headings right before it
+        bare = not votes[c] and (2 * linked[c] > length[c] or (top and up == root and not page.inside[c]))
+        gone[c] = gone[up] or bare or (within[up] and (page.strong[c] or (top and suspect[c])))
+    # an article's paragraph may be one link; elsewhere lines of links go
+    kept = [i for i, line in enumerate(lines) if within[line[3]] and not gone[line[3]] and (above[i] or page.inside[line[3]] or line[2] <= 0.7 * len(line[0]))]
+    if not kept:
+        return []
+    first, last, wrapper = kept[0], kept[-1], parent[root]
+    beside = lambda i: lines[i][3] == wrapper and wrapper != root and page.tag[wrapper] not in ("html", "body") and 2 * ratio[i] >= cut and not suspect[wrapper]
+    while first and (beside(first - 1) or (lines[first - 1][4] and not suspect[lines[first - 1][3]])):  # headings right before it, too
         first -= 1
         kept.insert(0, first)
+    while last + 1 < len(lines) and beside(last + 1):
+        last += 1
+        kept.append(last)
     return kept
 
 

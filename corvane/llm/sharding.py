@@ -177,7 +177,8 @@ class ShardStore:
                 raise RuntimeError("a merge lost or gained rows; nothing was committed")
             try:
                 self._replace(merged, new)
-            except Conflict:  # another compaction was first; its result is planned anew
+            except Conflict:  # another compaction was first; its result is planned anew, and no manifest names these files
+                self.fs.delete(self._path(folder), True)
                 continue
         return self.version()
 
@@ -209,9 +210,12 @@ class ShardStore:
             self.fs.delete(self._path(path), False)
         return sorted(old)
 
-    def read(self, version: int | None = None, shard: str = "shard") -> DataFrame:
-        """All rows of a version with the number of their shard."""
+    def read(self, version: int | None = None, shard: str | None = None) -> DataFrame:
+        """All rows of a version with the number of their shard in ``shard``, or else in the first of shard, shard_,
+        shard__, … that no column of the rows has as its name."""
         shards = self.manifest(version)
+        taken = {f.name.lower() for f in self.schema.fields}
+        shard = shard or next(n for n in ("shard" + "_" * i for i in range(len(taken) + 1)) if n not in taken)
         if not shards:
             return self.spark.createDataFrame([], self.schema).withColumn(shard, F.lit(None).cast("long"))
         names = self.spark.createDataFrame([(_short(s["path"]), s["shard"]) for s in shards], "file string, number long")
