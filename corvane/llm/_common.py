@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.sources.scratch import Scratch, shared_dir
 
-__all__ = ["WORD", "Scratch", "apart", "few", "parts", "shared_dir", "table", "text_col"]
+__all__ = ["WORD", "Scratch", "apart", "few", "parts", "released", "shared_dir", "table", "text_col"]
 
 #: White space of the word contracts: U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def released(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``batches``; after the last the worker, which later tasks use again, gives unused memory back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm._common import WORD, Scratch, apart, parts, table
+from corvane.llm._common import WORD, Scratch, apart, parts, released, table
 from corvane.llm.bpe import Memo
 
 BANDS, WIDTH, PERCENT, SEED = 84, 8, 80, 20240607
@@ -61,7 +61,7 @@ class Shingles:
 
     def __init__(self, k: int):
         self.k = k
-        self.words = Memo(xxhash.xxh3_64_intdigest, 400_000)
+        self.words = Memo(xxhash.xxh3_64_intdigest, 150_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode().lower().split() if text else []
@@ -101,7 +101,7 @@ def sketch(signature: np.ndarray) -> np.ndarray:
 def _signatures(k: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, by = Shingles(k), multipliers()
-        for batch in batches:
+        for batch in released(batches):
             for i in range(0, len(batch), 1000):
                 part = batch.iloc[i : i + 1000]
                 sets = [shingles(t) for t in part["text"]]
@@ -117,7 +117,7 @@ def _signatures(k: int):
 def _sets(k: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(k)
-        for batch in batches:
+        for batch in released(batches):
             for i in range(0, len(batch), 500):
                 part = batch.iloc[i : i + 500]
                 yield pd.DataFrame({"doc": part["doc"].array, "set": [shingles(t).view(np.int64) for t in part["text"]]})
