@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane.chess.position import START
 from corvane.functions import engine
 from corvane.functions import text as T
-from corvane.operators import answers, curate, evaluate, prompts, sampling, translate, validate
+from corvane.operators import answers, curate, evaluate, prompts, sampling, training, translate, validate
 from corvane.operators.memory import TranslationMemory
 from corvane.operators.memory import key as memory_key
 from corvane.sources.ordinals import numbered
@@ -122,14 +122,26 @@ def chat_history(spark, d):
     return curate.history(_t(spark, d, "conversations"), "conv_id", "turn", "role", "text", {"user": "Q", "assistant": "A"}).select("conv_id", F.md5("history").alias("digest"))
 
 
-def chat_examples(spark, d):
-    c = _t(spark, d, "conversations")
+def _examples(c):
     q = c.where((F.col("role") == "user")).groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
     a = c.where((F.col("role") == "assistant")).groupBy("conv_id").agg(F.min_by("text", "turn").alias("answer"))
-    rows = curate.chat_examples(q.join(a, "conv_id"), "S", question=["question"], answer=["answer"])
+    return curate.chat_examples(q.join(a, "conv_id"), "S", question=["question"], answer=["answer"])
+
+
+def chat_examples(spark, d):
+    rows = _examples(_t(spark, d, "conversations"))
     return rows.select("conv_id", F.md5(F.array_join(F.transform("messages", lambda m: F.concat_ws("=", m["role"], m["content"])), "|")).alias("digest"))
 
 
+def training_rows(spark, d):
+    from public_tokenizers import path  # the vocabulary's place on every machine
+
+    rows = training.training_rows(_examples(_t(spark, d, "conversations").where("text IS NOT NULL")), training.library_file(path("byte_bpe_50k.json")))
+    digest = lambda c: F.crc32(F.array_join(c, ",").cast("binary"))
+    learnt = F.size(F.filter("labels", lambda x: x != training.UNLEARNT))
+    return rows.select("conv_id", F.size("input_ids").alias("n_tokens"), (F.size("labels") - learnt).alias("n_prompt"), digest("input_ids").alias("ids_crc32"), digest("labels").alias("labels_crc32"))
+
+
 def first_fine_answer(spark, d):
     c = _t(spark, d, "conversations").where("text IS NOT NULL")
     return curate.first_fine(c, "conv_id", "turn", "text", F.length("text") > 200, "none", 3).select("conv_id", F.md5("answer").alias("digest"))
@@ -254,7 +266,7 @@ def chess_facts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     curation_report, english_runs, distinct_transform, price_distribution, round_robin, test_train_split, split_leaks, least_filled, filled_with_repeats, regenerated_answers, accuracy_slices, claims_report, rater_kappa, rater_agreement,
-    length_ranks, chat_history, chat_examples, first_fine_answer, shared_with_benchmark, event_fields, term_fold, translation_gate, fen_material, chess_facts,
+    length_ranks, chat_history, chat_examples, training_rows, first_fine_answer, shared_with_benchmark, event_fields, term_fold, translation_gate, fen_material, chess_facts,
     record_validation, translated_texts, staged_translation, ordinals_of_rows, facts_prompts, balanced_order, rating_forms, rl_prompts, engine_levels,
 )}
 FLAGSHIP = "curation_report"
