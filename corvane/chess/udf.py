@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -77,6 +78,13 @@ def find_tokens(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else [x._asdict() for x in notation.tokens(t)] for t in texts], dtype=object)
 
 
+@F.pandas_udf(TOKENS)
+def find_tokens_within(texts: pd.Series, fens: pd.Series, need_context: pd.Series) -> pd.Series:
+    """Tokens within the position's variations; without one, or with what is none, by the text alone, where bare pawn moves
+    need something sure beside them unless ``need_context`` is false."""
+    return pd.Series([None if t is None else [x._asdict() for x in notation.each(t, f if f and position(f) else None, need_context=n is not False)] for t, f, n in zip(texts, fens, need_context.astype(object))], dtype=object)
+
+
 @F.pandas_udf(MASKED)
 def mask(texts: pd.Series, fens: pd.Series) -> pd.DataFrame:
     """Masks within the position's variations; without one, or with what is none, by the text alone."""
@@ -146,13 +154,20 @@ def score(move: Column, solution: Column, valid: Column, one_answer: Column, *,
 _MENTION = re.compile(r"(?:ô|ở|tại|trên)\s+(?:ô\s+)?[a-h][1-8]", re.I)
 
 
-def move_claims_of(text: str | None, fen: str | None) -> list[dict]:
+def each_move_claim(text: str | None, fen: str | None) -> Iterator[dict]:
     """Moves of a text with whether some variation accepts them; squares that are only mentioned are none."""
     root = position(fen) if fen else None
     if not text or root is None:
-        return []
+        return
     lines, named = notation.Variations(root), {i for m in _MENTION.finditer(text) for i in range(*m.span())}
-    return [{"text": t.text, "is_true": lines.follow(t.text)} for t in notation.moves(text, need_context=False) if t.start not in named]
+    for t in notation.each(text, need_context=False):
+        if t.kind in ("san", "uci") and t.start not in named:
+            yield {"text": t.text, "is_true": lines.follow(t.text)}
+
+
+def move_claims_of(text: str | None, fen: str | None) -> list[dict]:
+    """``each_move_claim`` as a list."""
+    return list(each_move_claim(text, fen))
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", _S), T.StructField("is_true", _B)])))

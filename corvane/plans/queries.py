@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.chess import tables
 from corvane.chess.position import START
 from corvane.functions import engine
 from corvane.functions import text as T
@@ -240,6 +241,13 @@ def rl_prompts(spark, d):
     return curate.rl_rows(docs, "doc_id", "S", prompts.PUZZLE_USER, limit=300).select("fen", F.md5(F.col("prompt")[1]["content"]).alias("digest"), "primary_theme", "rating_bucket")
 
 
+def notation_rows(spark, d):
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9-]", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"\bthe\b", "Nf3"), r"\bis\b", "e4")
+    rows = tables.token_rows(_t(spark, d, "documents").select("doc_id", text.alias("told")), F.col("told"), outer=True)
+    return rows.groupBy("doc_id").agg(F.count("token").alias("n_tokens"), F.count_if(F.col("token.text").startswith("e4")).alias("n_pawn"), F.min("token.start").alias("first"), F.max("token.end").alias("last"))
+
+
 def engine_levels(spark, d):
     e = F.col("user_id") % 2000 + 700
     rows = _t(spark, d, "events").select(e.alias("elo")).distinct()
@@ -267,7 +275,7 @@ def chess_facts(spark, d):
 QUERIES = {f.__name__: f for f in (
     curation_report, english_runs, distinct_transform, price_distribution, round_robin, test_train_split, split_leaks, least_filled, filled_with_repeats, regenerated_answers, accuracy_slices, claims_report, rater_kappa, rater_agreement,
     length_ranks, chat_history, chat_examples, training_rows, first_fine_answer, shared_with_benchmark, event_fields, term_fold, translation_gate, fen_material, chess_facts,
-    record_validation, translated_texts, staged_translation, ordinals_of_rows, facts_prompts, balanced_order, rating_forms, rl_prompts, engine_levels,
+    record_validation, translated_texts, staged_translation, ordinals_of_rows, facts_prompts, balanced_order, rating_forms, rl_prompts, engine_levels, notation_rows,
 )}
 FLAGSHIP = "curation_report"
 
@@ -395,5 +403,10 @@ ORACLE_SQL = {
     "rl_prompts": """WITH c AS (SELECT *, coalesce(nullif(source, ''), 'untagged') AS a, coalesce(nullif(lang, ''), '?') AS b FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY md5('20240911:' || doc_id::VARCHAR), doc_id) AS rn FROM c),
         l AS (SELECT * FROM r ORDER BY rn, a, b LIMIT 300) SELECT 'p' || doc_id AS fen, md5('FEN: p' || doc_id || chr(10) || 'Bên đang đi cần tìm nước mạnh nhất. Nước đi nào?') AS digest, coalesce(source, '') AS primary_theme, coalesce(lang, '') AS rating_bucket FROM l WHERE doc_id % 4 > 0 AND doc_id % 3 > 0""",
     "engine_levels": "WITH e AS (SELECT DISTINCT user_id % 2000 + 700 AS elo FROM events), u AS (SELECT elo, (greatest(2200, least(2600, elo)) - 2200) / 400.0::DOUBLE AS s, (greatest(800, least(2200, elo)) - 800) / 1400.0::DOUBLE AS w FROM e) SELECT elo, CASE WHEN elo <= 2200 THEN 'maia' ELSE 'stockfish' END AS engine, round_even(10 + s * 10, 0)::INT AS skill, round_even(8 + s * 10, 0)::INT AS depth, greatest(800, least(2600, elo))::BIGINT AS clamped, round_even(w * 10, 0)::INT AS weak_skill FROM u",
+    "notation_rows": r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[0-9-]', '', 'g'), '\bthe\b', 'Nf3', 'g'), '\bis\b', 'e4', 'g') AS t FROM documents),
+        b AS (SELECT doc_id, t, regexp_extract_all(t, '(?:Nf3|e4)[+#]?[!?]{0,2}') AS x, contains(t, 'Nf3') AS sure FROM a)
+        SELECT doc_id, CASE WHEN sure THEN len(x) ELSE 0 END::BIGINT AS n_tokens, CASE WHEN sure THEN len(list_filter(x, lambda m: starts_with(m, 'e4'))) ELSE 0 END::BIGINT AS n_pawn,
+               CASE WHEN sure THEN CASE WHEN strpos(t, 'e4') = 0 THEN strpos(t, 'Nf3') ELSE least(strpos(t, 'Nf3'), strpos(t, 'e4')) END - 1 END::INT AS first,
+               CASE WHEN sure THEN length(regexp_extract(t, '(?s)^.*(?:Nf3|e4)[+#]?[!?]{0,2}')) END::INT AS last FROM b""",
     "fen_material": "WITH f AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^rnbqkpRNBQKP]', '', 'g') AS b FROM documents) SELECT doc_id, " + ", ".join("(" + " + ".join(f"{v} * (length(b) - length(replace(b, '{p}', '')))" for p, v in zip(s, (1, 3, 3, 5, 9))) + f")::INT AS {n}" for s, n in (("PNBRQ", "white"), ("pnbrq", "black"))) + " FROM f",
 }
