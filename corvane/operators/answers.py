@@ -101,9 +101,12 @@ def playable(puzzles: DataFrame, *, fen: str = "fen") -> DataFrame:
     return fine.where(F.coalesce("__fine", F.lit(False))).drop("__fine")
 
 
-def puzzle_results(puzzles: DataFrame, load: Callable[[], Predictor], *, system: str = "", with_all_facts: bool = False, limit: int | None = None, order: str = "puzzle_id") -> DataFrame:
+def puzzle_results(puzzles: DataFrame, load: Callable[[], Predictor], *, system: str = "", with_all_facts: bool = False, build: Callable[[Column], Column] | None = None, limit: int | None = None, order: str = "puzzle_id") -> DataFrame:
     """From (puzzle_id, fen, solution array, rating_bucket, primary_theme): puzzle_id, rating_bucket, theme, expected,
-    predicted (UCI), correct, legal. ``limit`` counts puzzles with a position, in order of ``order``."""
+    predicted (UCI), correct, legal. ``limit`` counts puzzles with a position, in order of ``order``. ``build`` makes the
+    prompt of a position's column; without it the prompt is the bare position, or all facts with ``with_all_facts``."""
+    if build is not None and with_all_facts:
+        raise ValueError("give either a builder of prompts or with_all_facts")
     rows = playable(puzzles)
     if limit is not None:
         rows = rows.orderBy(order).limit(limit)
@@ -112,7 +115,7 @@ def puzzle_results(puzzles: DataFrame, load: Callable[[], Predictor], *, system:
         rows = with_facts(rows)
         answered = predicted(rows.withColumn("__ask", facts_prompt(F.col("facts"))).drop("facts"), load, F.col("__ask")).drop("__ask")
     else:
-        answered = predicted(rows, load, puzzle_prompt(F.col("fen"), system))
+        answered = predicted(rows, load, build(F.col("fen")) if build else puzzle_prompt(F.col("fen"), system))
     move = K.concluding_move(F.col("answer"), F.col("fen"), T.answer(F.col("answer")))
     uci_only = F.when(F.col("__first").rlike("^[a-h][1-8][a-h][1-8][qrbn]?$"), K.read_move("fen", "__first"))
     out = answered.withColumns({"expected": uci_only, "predicted": move})

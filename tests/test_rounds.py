@@ -118,3 +118,13 @@ def test_one_pass_equals_the_ordered_fold(spark, terms, variants):
 def test_tokens_of_many_squares_take_linear_time():
     text = "Nf3 " + "e4-e5 d4 " * 4000
     assert len(notation.tokens(text)) == 1 + 4000
+
+
+def test_prompts_are_built_by_the_caller(spark):
+    puzzles = spark.createDataFrame([("p", START, ["e2e4"], "b", "t"), ("q", START, ["d2d4"], "b", "t")], "puzzle_id string, fen string, solution array<string>, rating_bucket string, primary_theme string")
+    load = lambda: lambda asked: ["Nước đi: " + a.partition(" plays ")[2] for a in asked]
+    build = lambda fen: F.concat(F.lit("white of "), F.substring_index(fen, " ", 1), F.lit(" plays e2e4"))
+    got = {r.puzzle_id: (r.predicted, r.correct) for r in answers.puzzle_results(puzzles, load, build=build).collect()}
+    assert got == {"p": ("e2e4", True), "q": ("e2e4", False)}
+    with pytest.raises(ValueError):
+        answers.puzzle_results(puzzles, load, build=build, with_all_facts=True)
