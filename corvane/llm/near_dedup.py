@@ -39,7 +39,7 @@ BITS, AGREE = 640, 530
 SMALL, ROWS = 64, 1000
 #: Links up to this number are joined by one task; more by rounds of joins, with equal results.
 ONE_TASK = 1_000_000
-#: Ids that may be broadcast to find copies and to read the texts of candidates; more are joined by a shuffle.
+#: Ids or buckets that may be broadcast to find copies, the texts of candidates and buckets' rows; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _NONE = np.empty(0, np.int64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -260,7 +260,7 @@ class _Linker:
 
 
 def _few(ids: DataFrame) -> DataFrame:
-    """Ids to join with, broadcast if their number allows."""
+    """Ids or buckets to join with, a row each; broadcast if their number allows, else a hot one's rows are split as a skewed join."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
@@ -282,9 +282,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     copies = slim.where("n > 0").select("doc").distinct().join(classes.select(F.col("first").alias("doc")), "doc", "left_anti")
     banded = signed.where("n > 0 AND doc IS NOT NULL").join(_few(scratch.write(copies.where("doc IS NOT NULL"), "copies")), "doc", "left_anti")
     rows = banded.select("doc", "n", F.explode("bands").alias("key"))
-    of_key = Window.partitionBy("key")  # one shuffle of all rows tells which buckets are shared, and their sizes
-    rows = rows.select("key", "doc", "n", F.min("doc").over(of_key).alias("low"), F.max("doc").over(of_key).alias("high"), F.count("*").over(of_key).alias("size"))
-    buckets = scratch.write(rows.where("low < high").select("key", "doc", "n", "size"), "rows")
+    sizes = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("size"))
+    shared = scratch.write(sizes.where("low < high").select("key", "size"), "shared")  # summed up before the shuffle: no task gets a bucket
+    buckets = scratch.write(rows.join(_few(shared), "key"), "rows")
     ids = scratch.write(buckets.select("doc").distinct(), "candidates")
     few = _few(ids)
     sets = scratch.write(own.join(few, "doc", "left_semi").mapInPandas(_sets(shingle), "doc long, set array<long>"), "sets")
@@ -302,17 +302,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     for turn in range(STARS + 1):
         labelled = linker.labelled(buckets)
         if turn:
-            of_part = Window.partitionBy("key", "component")
-            open_ = labelled.repartition(parts(spark), "key").withColumn("k", F.count("*").over(of_part)).select(
-                "key", "doc", "n", "hub", "component",
-                *[f(c).over(of_key).alias(name) for name, f, c in (("m", F.count, "*"), ("s", F.sum, "k"), ("low", F.min, "component"), ("high", F.max, "component"), ("most", F.max, "k"))],
-                F.max_by("component", F.struct("k", "component")).over(of_key).alias("main"),
-            ).where("low < high")
-            open_ = open_.select("key", "doc", "n", "hub", "component", "m", F.col("most").alias("k"), "main", ((F.col("m") - F.col("s") / F.col("m")) / 2).alias("open"))
-            labelled = scratch.write(open_, f"open{turn}")  # a row's share of its bucket's open pairs
-            each = labelled.agg(F.sum("open")).first()[0]
+            sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(
+                F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("s"), F.count("*").alias("parts"),
+                F.max("k").alias("k"), F.max_by("component", F.struct("k", "component")).alias("main"),
+            ).where("parts > 1")
+            # a row's share of its bucket's open pairs
+            sizes = scratch.write(sizes.select("key", "m", "k", "main", ((F.col("m") - F.col("s") / F.col("m")) / 2).alias("open")), f"sizes{turn}")
+            each = sizes.agg(F.sum(F.col("m") * F.col("open"))).first()[0]
             if not each:
                 break
+            labelled = scratch.write(labelled.join(_few(sizes), "key"), f"open{turn}")
             buckets = labelled.select("key", "doc", "n", "hub")
             done = turn == STARS or each <= limit or (last is not None and each > last * 2 / 3)
             last = each
@@ -335,6 +334,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         first = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("hub_"), "doc_"))
         pairs = pairs.withColumn("k", first).where(F.col("k") <= CENTRES)  # the others stay open
         linker.confirm(pairs.select(F.least("doc", "doc_").alias("a"), F.greatest("doc", "doc_").alias("b")).distinct())
+    scratch.drop("copies", "shared", "rows", "candidates", "sets", "sketches", "buckets", *[f"{x}{i}" for x in ("sizes", "open") for i in range(1, STARS + 1)])
+    scratch.drop(*[f"{x}{i}" for x in ("pairs", "links", "all") for i in range(1, linker.round + 1)])
     out = slim.join(classes, "same", "left")
     labels = linker.labels
     if labels is None:

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -69,6 +70,34 @@ def test_phrases_and_likeness():
     assert fingerprints.likeness([], []) == 1 and fingerprints.likeness([], [1]) == 0
 
 
+def plain_phrases(text):
+    """A dictionary parse by longest match over the list of symbols, with no state but the phrases."""
+    symbols = re.findall(r"[^\W\u2e80-\uffff]{1,16}|[\u2e80-\uffff]|[^\w\s]", text)
+    seen, i = set(), 0
+    while i < len(symbols):
+        j = i + 1
+        while j < len(symbols) and tuple(symbols[i:j]) in seen:
+            j += 1
+        seen.add(tuple(symbols[i:j]))
+        i = j
+    return seen
+
+
+def test_likeness_of_many_pairs_against_a_plain_parse(docs):
+    texts = [r.text for r in docs.where("text IS NOT NULL").orderBy("doc_id").limit(60).collect()]
+    rng, off = random.Random(3), []
+    for text, other in zip(texts, texts[1:] + texts[:1]):
+        at = rng.randrange(len(text) + 1)
+        for near in (text, other, text[:at] + other[at:], text[at:], text[:at] + " inserted words here " + text[at:]):
+            a, b = plain_phrases(text), plain_phrases(near)
+            assert len(fingerprints.phrases(text)) == len(a)
+            got = fingerprints.likeness(fingerprints.signature(text), fingerprints.signature(near))
+            off.append(got - (len(a & b) / len(a | b) if a | b else 1))
+            assert near != text or got == 1
+    assert len(off) == 300 and max(map(abs, off)) < 0.25 and abs(sum(off)) / len(off) < 0.01  # 64 hashes: 0.0625 is one deviation at most
+    assert (sum(x * x for x in off) / len(off)) ** 0.5 < 0.0625
+
+
 # near duplicates
 
 
@@ -86,8 +115,9 @@ def brute_components(rows, k):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("k,small,stars", [(2, 64, 8), (5, 64, 8), (2, 2, 1), (5, 1, 1)])
-def test_near_copies_of_one_text(spark, monkeypatch, k, small, stars):
+@pytest.mark.parametrize("k,small,stars,ids", [(2, 64, 8, 10**6), (5, 64, 8, 0), (2, 2, 1, 0), (5, 1, 1, 10**6)])
+def test_near_copies_of_one_text(spark, monkeypatch, k, small, stars, ids):
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", ids)  # more are joined by a shuffle
     monkeypatch.setattr(near_dedup, "SMALL", small)  # larger buckets are compared in blocks
     monkeypatch.setattr(near_dedup, "STARS", stars)
     monkeypatch.setattr(near_dedup.large_bucket_links, "__defaults__", (7,))
