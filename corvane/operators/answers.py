@@ -97,8 +97,9 @@ def guarded(rows: DataFrame, load: Callable[[float], Predictor], *, fen: str = "
 
 def playable(puzzles: DataFrame, *, fen: str = "fen") -> DataFrame:
     """The puzzles with a position; each distinct one is read once."""
-    fine = through_distinct(puzzles, fen, lambda d, c: d.withColumn("__fine", K.fen_valid(c)), "__fine")
-    return fine.where(F.coalesce("__fine", F.lit(False))).drop("__fine")
+    (fine,) = free(puzzles, "fine")
+    known = through_distinct(puzzles, fen, lambda d, c: d.withColumn(fine, K.fen_valid(c)), fine)
+    return known.where(F.coalesce(fine, F.lit(False))).drop(fine)
 
 
 def puzzle_results(puzzles: DataFrame, load: Callable[[], Predictor], *, system: str = "", with_all_facts: bool = False, build: Callable[[Column], Column] | None = None, limit: int | None = None, order: str = "puzzle_id") -> DataFrame:

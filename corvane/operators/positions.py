@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.chess import udf as K
 from corvane.functions import text as T
+from corvane.functions.columns import free
 from corvane.operators.curate import through_distinct
 from corvane.operators.sampling import UNTAGGED, rating_bucket
 
@@ -19,11 +20,12 @@ def normalise(rows: DataFrame, question: str, *, index: str = "id") -> DataFrame
     """From (instruction, output, id): id, fen, question, answer, label, and ``reason`` if the row is unusable
     (missing_fen, missing_label, illegal_label, other), else null."""
     found = F.regexp_extract("instruction", FEN, 1)
-    df = rows.withColumn("fen", F.when(found != "", found)).withColumn("label", F.lower(F.try_element_at(F.regexp_extract_all("output", F.lit(LABEL), F.lit(1)), F.lit(-1))))
-    df = through_distinct(df, "fen", lambda d, c: d.withColumn("__valid", K.fen_valid(c)), "__valid")
-    df = df.withColumn("__move", K.read_move("fen", "label"))
-    reason = F.when(F.col("fen").isNull(), "missing_fen").when(~F.col("__valid"), "other").when(F.col("label").isNull(), "missing_label").when(F.col("__move").isNull(), "illegal_label")
-    return df.select(F.col(index).alias("id"), "fen", F.lit(question).alias("question"), T.strip(F.col("output")).alias("answer"), "label", reason.alias("reason"))
+    label = F.lower(F.try_element_at(F.regexp_extract_all("output", F.lit(LABEL), F.lit(1)), F.lit(-1)))
+    df = rows.select(F.col(index).alias("id"), F.when(found != "", found).alias("fen"), T.strip(F.col("output")).alias("answer"), label.alias("label"))
+    df = through_distinct(df, "fen", lambda d, c: d.withColumn("valid", K.fen_valid(c)), "valid")
+    df = df.withColumn("move", K.read_move("fen", "label"))
+    reason = F.when(F.col("fen").isNull(), "missing_fen").when(~F.col("valid"), "other").when(F.col("label").isNull(), "missing_label").when(F.col("move").isNull(), "illegal_label")
+    return df.select("id", "fen", F.lit(question).alias("question"), "answer", "label", reason.alias("reason"))
 
 
 def listed(column: Column) -> Column:
@@ -78,21 +80,24 @@ def with_facts(rows: DataFrame, fen: str = "fen") -> DataFrame:
 BOOK_ROWS = 100_000
 
 
-def _book(book: DataFrame) -> DataFrame:
-    own = book.select(F.col("epd").alias("__epd"), F.col("opening").alias("__opening"))
+def _book(book: DataFrame, at: str, name: str) -> DataFrame:
+    own = book.select(F.col("epd").alias(at), F.col("opening").alias(name))
     return F.broadcast(own) if own.limit(BOOK_ROWS + 1).count() <= BOOK_ROWS else own
 
 
 def with_opening(rows: DataFrame, book: DataFrame, epd: str) -> DataFrame:
-    """Adds ``opening`` from a book (epd, opening), null without an entry."""
-    return rows.join(_book(book), F.col(epd) == F.col("__epd"), "left").withColumnRenamed("__opening", "opening").drop("__epd")
+    """Adds ``opening`` from a book (epd, opening), null without an entry; an ``opening`` that rows have is replaced."""
+    at, name = free([*rows.columns, "opening"], "at", "name")
+    named = rows.drop("opening").join(_book(book, at, name), F.col(epd) == F.col(at), "left")
+    return named.withColumnRenamed(name, "opening").drop(at)
 
 
 def with_deepest_opening(games: DataFrame, book: DataFrame, key: str, fen: str, moves: str) -> DataFrame:
     """Adds ``opening``: the book's name of the last position that a game reaches and the book has. Games start from
     ``fen`` (the start if null) and are played up to their first illegal move."""
-    plies = games.select(key, F.posexplode(K.reached(fen, moves)).alias("ply", "epd")).join(_book(book), F.col("epd") == F.col("__epd"))
-    return games.join(plies.groupBy(key).agg(F.max_by("__opening", "ply").alias("opening")), key, "left")
+    at, name = free([key, "ply", "epd"], "at", "name")
+    plies = games.select(key, F.posexplode(K.reached(fen, moves)).alias("ply", "epd")).join(_book(book, at, name), F.col("epd") == F.col(at))
+    return games.drop("opening").join(plies.groupBy(key).agg(F.max_by(name, "ply").alias("opening")), key, "left")
 
 
 def material(fen: Column) -> Column:

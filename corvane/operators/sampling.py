@@ -161,9 +161,10 @@ def rating_form(rows: DataFrame, key: str, size: int = 100, *, answer: str = "an
     all, or ``size`` by a seeded hash of ``key``. ``sample_id`` is puzzle_id, else id, else the row's number; 0 and empty
     ids count as none. Raises ValueError if no row has an answer."""
     pool = rows.where(F.col(answer).isNotNull())
-    chosen = pool.withColumn("__h", _order(F.col(key), seed)).orderBy("__h", key).limit(size)
+    (h,) = free(rows, "h")
+    chosen = pool.withColumn(h, _order(F.col(key), seed)).orderBy(h, key).limit(size)
     given = [F.when(~F.col(c).cast("string").isin("", "0"), F.col(c).cast("string")) for c in ("puzzle_id", "id") if c in rows.columns]
-    number = (F.row_number().over(Window.orderBy("__h", key)) - 1).cast("string")  # at most ``size`` rows
+    number = (F.row_number().over(Window.orderBy(h, key)) - 1).cast("string")  # at most ``size`` rows
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
     out = chosen.select(F.coalesce(*given, number).alias("sample_id"), text("fen").alias("fen"), text(question).alias("question"), F.col(answer).alias("answer"), *[F.lit("").alias(c) for c in ("naturalness", "terminology", "notes")])
     if pool.isEmpty():

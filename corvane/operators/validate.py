@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.chess import udf as K
 from corvane.functions import terms as terms_module
 from corvane.functions import text as T
+from corvane.functions.columns import free
 from corvane.operators.curate import through_distinct
 from corvane.operators.positions import label_reasons
 from corvane.sources import records
@@ -37,37 +38,38 @@ def validated(
     note = lambda reason, detail: F.struct(F.lit(reason).alias("reason"), detail.alias("detail"))
     joined = lambda a: F.array_join(a, ", ")
     df = rows
+    fine, illegal, mislabelled, longest, wrong_terms, why = free(rows, "fine", "illegal", "mislabelled", "longest", "wrong_terms", "why")
     if fen is None:
         valid = F.lit(True)
     elif known is not None:
         valid = F.coalesce(known, F.lit(False))
     else:
-        df = through_distinct(df, fen, lambda d, c: d.withColumn("__fine", K.fen_valid(c)), "__fine")
-        valid = F.coalesce("__fine", F.lit(False))
+        df = through_distinct(df, fen, lambda d, c: d.withColumn(fine, K.fen_valid(c)), fine)
+        valid = F.coalesce(fine, F.lit(False))
     found = []
     if strict_moves and fen and texts:
-        df = df.withColumn("__illegal", K.illegal_moves(F.array(*map(F.col, texts)), F.col(fen)))
-        found.append(F.when(F.size("__illegal") > 0, note("invalid_move", F.concat(F.lit("illegal: "), joined(F.col("__illegal"))))))
+        df = df.withColumn(illegal, K.illegal_moves(F.array(*map(F.col, texts)), F.col(fen)))
+        found.append(F.when(F.size(illegal) > 0, note("invalid_move", F.concat(F.lit("illegal: "), joined(F.col(illegal))))))
     if label and fen and have.get(label) == "string":
         said = F.col(texts[-1]) if texts else F.lit(None).cast("string")
-        df = df.withColumn("__label", F.try_element_at(label_reasons(said, F.col(fen), F.col(label)), F.lit(1)))
-        found.append(F.when(F.col("__label").isNotNull(), F.struct(F.col("__label").alias("reason"), F.concat(F.lit("label: "), F.col(label)).alias("detail"))))
+        df = df.withColumn(mislabelled, F.try_element_at(label_reasons(said, F.col(fen), F.col(label)), F.lit(1)))
+        found.append(F.when(F.col(mislabelled).isNotNull(), F.struct(F.col(mislabelled).alias("reason"), F.concat(F.lit("label: "), F.col(label)).alias("detail"))))
     if texts:
         all_texts = [F.coalesce(F.col(n), F.lit("")) for n in texts]
         left = F.array_sort(F.array_distinct(F.flatten(F.array(*map(T.placeholders, all_texts)))))
         found.append(F.when(F.size(left) > 0, note("leftover_placeholder", F.concat(F.lit("left: "), joined(left)))))
         runs = [T.longest_english_run(t) for t in all_texts]
-        df = df.withColumn("__run", F.greatest(*runs) if len(runs) > 1 else runs[0])
-        found.append(F.when(F.col("__run") >= run, note("english_chunk", F.format_string("run of %d words", F.col("__run")))))
+        df = df.withColumn(longest, F.when(valid, F.greatest(*runs) if len(runs) > 1 else runs[0]))
+        found.append(F.when(F.col(longest) >= run, note("english_chunk", F.format_string("run of %d words", F.col(longest)))))
         wrong = F.flatten(F.array(*[T.term_violations(t, terms, variants) for t in all_texts])) if terms else None
         if wrong is not None:
             pairs = F.array_sort(F.array_distinct(F.transform(wrong, lambda v: F.concat(v["found"], F.lit(" -> "), v["expected"]))))
-            df = df.withColumn("__terms", pairs)
-            found.append(F.when(F.size("__terms") > 0, note("glossary", joined(F.col("__terms")))))
+            df = df.withColumn(wrong_terms, F.when(valid, pairs))
+            found.append(F.when(F.size(wrong_terms) > 0, note("glossary", joined(F.col(wrong_terms)))))
     gathered = F.filter(F.array(*found), lambda x: x.isNotNull()) if found else empty
     missing = F.array(note("missing_fen", F.concat(F.lit("position: "), F.coalesce(F.col(fen).cast("string"), F.lit("none"))) if fen else F.lit("")))
-    df = df.withColumn("__why", F.when(valid, gathered).otherwise(missing))
-    reason, detail = F.transform("__why", lambda x: x["reason"]), F.transform("__why", lambda x: x["detail"])
+    df = df.withColumn(why, F.when(valid, gathered).otherwise(missing))
+    reason, detail = F.transform(why, lambda x: x["reason"]), F.transform(why, lambda x: x["detail"])
     return df.select(*[F.col(f"`{c}`") for c in rows.columns], reason.alias("reason"), detail.alias("reason_detail"))
 
 

@@ -360,3 +360,16 @@ def test_jobs(spark, tmp_path, capsys):
     for who in ("ann", "bo"):
         (tmp_path / f"{who}.csv").write_text("sample_id,naturalness,terminology\n1,4,5\n2,3,3\n")
     assert run("collect-ratings", at("ann.csv"), at("bo.csv"), "--target", at("agree")) == 0 and "ann, bo" in capsys.readouterr().out
+
+
+def test_clashing_names(spark):
+    """Columns that have the names an operator would give its own stay as they are; an older result is replaced."""
+    row = ("8/8/8/8/8/8/8/K6k w - - 0 1", "Tốt <M1>", "a", "b", "c", "d", "e", "f", "old")
+    df = spark.createDataFrame([row, ("none", *row[1:])], "fen string, answer string, fine string, illegal string, longest string, wrong_terms string, why string, at string, opening string")
+    got = {r.fen: r for r in validate.validated(df, label=None).collect()}
+    assert got[row[0]].reason == ["leftover_placeholder"] and got["none"].reason == ["missing_fen"]
+    assert all(tuple(r)[1:9] == row[1:] for r in got.values())
+    assert [tuple(r) for r in answers.playable(df).select(df.columns).collect()] == [row]
+    book = spark.createDataFrame([(row[0], "new")], "epd string, opening string")
+    named = {r.fen: r for r in positions.with_opening(df, book, "fen").collect()}
+    assert named[row[0]].opening == "new" and named["none"].opening is None and named["none"]["at"] == "f"
