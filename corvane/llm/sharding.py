@@ -15,6 +15,9 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 from corvane.llm._common import Scratch, few, table
 
 TARGET_BYTES, FAN_IN, ARRIVALS = 64 << 20, 4, 3
-#: Files that one job of a compaction merges at most; what is left is merged by the next job.
-MERGE_FILES = 20_000
+#: Files and groups that one job of a compaction merges at most; what is left is merged by the next job.
+MERGE_FILES, MERGE_GROUPS = 20_000, 200
+#: Unless off, a union of inputs of one partition each has one partition, from Spark 4.1 on.
+UNION_CONF = "spark.sql.unionOutputPartitioning"
 #: Versions that ``vacuum`` keeps, and seconds for which it keeps older ones.
 KEEP_VERSIONS, KEEP_SECONDS = 2, 7 * 24 * 3600.0
 
@@ -158,20 +163,19 @@ class ShardStore:
     def compact(self) -> int:
         """Merges by ``plan`` until no tier has a run; every merge is one job and one commit.
 
-        Each group is smaller than two target sizes and has a task of its own, which writes one file. So each merge
-        leaves fewer shards. Older versions stay readable, with their files, until ``vacuum``."""
+        Each group is smaller than two target sizes and has a task of its own, which reads the group's files and writes
+        one; no row is shuffled. So each merge leaves fewer shards. Older versions stay readable, with their files, until
+        ``vacuum``."""
         while groups := self.plan(self.manifest(self.version())):
             job: list[list[dict]] = []
             for g in groups:
-                if job and sum(map(len, job)) + len(g) > MERGE_FILES:
+                if job and (len(job) == MERGE_GROUPS or sum(map(len, job)) + len(g) > MERGE_FILES):
                     break
                 job.append(g)
             merged = [s for g in job for s in g]
-            of = [(_short(s["path"]), i) for i, g in enumerate(job) for s in g]
-            names = self.spark.createDataFrame(of, "file string, task int")  # at most MERGE_FILES, or one group
             folder = f"data/m-{uuid.uuid4().hex}"
-            dealt = self._rows(merged).join(F.broadcast(names), "file").repartitionById(len(job), "task")
-            dealt.select(*self._named()).write.parquet(f"{self.folder}/{folder}")
+            with self._partitions_kept():
+                reduce(DataFrame.union, [self._files(g).coalesce(1) for g in job]).write.parquet(f"{self.folder}/{folder}")
             new = self._written(folder, 0, 1 + max(s["generation"] for s in merged))
             if sum(s["rows"] for s in new) != sum(s["rows"] for s in merged):
                 raise RuntimeError("a merge lost or gained rows; nothing was committed")
@@ -182,10 +186,22 @@ class ShardStore:
                 continue
         return self.version()
 
+    @contextmanager
+    def _partitions_kept(self) -> Iterator[None]:
+        """Meanwhile a union has the partitions of all its inputs."""
+        before = self.spark.conf.get(UNION_CONF, None)
+        self.spark.conf.set(UNION_CONF, "false")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(UNION_CONF, before) if before else self.spark.conf.unset(UNION_CONF)
+
+    def _files(self, shards: list[dict]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[self.folder + "/" + s["path"] for s in shards])
+
     def _rows(self, shards: list[dict]) -> DataFrame:
         """All rows of shards, with columns c0, c1, … and ``file``, the short name of theirs."""
-        rows = self.spark.read.schema(self.schema).parquet(*[self.folder + "/" + s["path"] for s in shards])
-        return rows.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(self.schema.fields)], _name().alias("file"))
+        return self._files(shards).select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(self.schema.fields)], _name().alias("file"))
 
     def _named(self) -> list[Column]:
         return [F.col(f"c{i}").alias(f.name) for i, f in enumerate(self.schema.fields)]

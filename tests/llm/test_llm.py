@@ -316,6 +316,24 @@ def test_plans_against_a_plain_model(spark, docs):
             assert (bool(groups) or len(run) < 3) and run[: sum(map(len, groups))] == [x for g in groups for x in g]
 
 
+def test_merges_shuffle_no_rows(spark, docs, monkeypatch):
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    monkeypatch.setattr(sharding, "MERGE_GROUPS", 2, raising=False)  # several jobs
+    store = sharding.ShardStore(spark, Scratch(spark, "s").path("store"), docs.schema, target_bytes=60_000, fan_in=2)
+    store.append(docs.repartition(24))
+    groups, before = store.plan(store.manifest()), shuffled()
+    store.compact()
+    merged = [s for s in store.manifest() if s["generation"]]
+    assert len(groups) > 2 and shuffled() - before < 0.2 * sum(s["bytes"] for s in merged)
+    assert all(s["bytes"] < 4 * 60_000 for s in merged)  # a file for each group
+    assert spark.conf.get("spark.sql.unionOutputPartitioning", "true") == "true"
+    assert store.read().count() == docs.count() and store.read().drop("shard").exceptAll(docs).count() == 0
+
+
 def test_shards_of_clashing_columns(spark):
     df = spark.createDataFrame([(i, "t", "f", 1, 2) for i in range(50)], "doc_id long, c1 string, file string, task int, n int").repartition(8)
     store = sharding.ShardStore(spark, Scratch(spark, "s").path("store"), df.schema, target_bytes=1 << 20, fan_in=2)
